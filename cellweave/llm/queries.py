@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, pii, quality_rules, url_filter
+from . import chat_format, decontaminate, html_extract, near_dup, packing, pii, quality_rules, url_filter
 from .common import table
 
 
@@ -38,7 +38,24 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op4_quality_rules, op5_url_filter, op6_pii)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op4_quality_rules, op5_url_filter, op6_pii, op7_packing, op8_near_dup, op10_html_extract)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PUNCT_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
