@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, near_dup, packing, pii, quality_rules, url_filter
+from . import chat_format, decontaminate, html_extract, near_dup, packing, pii, quality_rules, toxicity, url_filter
 from .common import table
 
 
@@ -20,6 +20,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fifth."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    r = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held))
+    return r.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the line-first rules for every document."""
     r = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -55,7 +62,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op4_quality_rules, op5_url_filter, op6_pii, op7_packing, op8_near_dup, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_toxicity, op4_quality_rules, op5_url_filter, op6_pii, op7_packing, op8_near_dup, op10_html_extract)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PUNCT_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
