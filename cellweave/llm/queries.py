@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, near_dup, packing, pii, quality_rules, toxicity, url_filter
+from . import chat_format, decontaminate, html_extract, katz, near_dup, packing, pii, quality_rules, toxicity, url_filter
 from .common import table
 
 
@@ -57,12 +57,18 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and backoff scores of every document, learned from six sevenths of them."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return katz.katz_scores(table(spark, sf_dir, "documents"), held)
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_toxicity, op4_quality_rules, op5_url_filter, op6_pii, op7_packing, op8_near_dup, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_chat_format, op3_toxicity, op4_quality_rules, op5_url_filter, op6_pii, op7_packing, op8_near_dup, op9_katz, op10_html_extract)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PUNCT_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
