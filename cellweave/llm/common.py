@@ -26,7 +26,7 @@ def ascii_lower(text: Column) -> Column:
 
 def tokens(text: Column, separator: str) -> Column:
     """The non-empty pieces of a text between separators; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), separator), lambda w: F.length(w) > 0)
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separator), "")
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -12,16 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD
+from .common import SPACE
 
 SYMBOLS = r"[#*$%&|<>]"
 BOILERPLATE = r"(?i)(licensed under the|all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|copyright \(c\)|subscribe to our newsletter)"
 
 
 def _windows(words: Column) -> Column:
-    """All 3-word windows, in order; ``words`` must be a plain column (it is used several times)."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.slice(words, i + 1, 3)))
-    return F.when(F.size(words) >= 3, grams).otherwise(F.array().cast("array<string>"))
+    """64-bit hashes of all 3-word windows, in order; ``words`` must be a plain column (it is used several times)."""
+    grams = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(F.size(words) >= 3, grams).otherwise(F.array().cast("array<bigint>"))
 
 
 def _sorted(grams: Column) -> Column:
@@ -43,15 +43,21 @@ def _count(starts: Column) -> Column:
     return F.aggregate(starts, zero, lambda a, s: F.struct(s.alias("last"), (a["n"] + F.least(F.lit(3), s - a["last"])).alias("n")), lambda a: a["n"])
 
 
-def line_fails(line: Column) -> Column:
-    """True for lines that are symbol noise, shouting, navigation, a stuck word, or boilerplate."""
-    chars = F.length(line) - F.regexp_count(line, F.lit(SPACE))
-    words = F.regexp_count(line, F.lit(WORD))
-    symbols = 10 * F.regexp_count(line, F.lit(SYMBOLS)) > chars
-    shouting = (words >= 3) & (2 * F.regexp_count(line, F.lit(r"!!")) > words)
-    navigation = (F.regexp_count(line, F.lit(r" \| ")) >= 3) | ((words >= 4) & (2 * F.regexp_count(line, F.lit(r"[»›•|]")) > words))
-    stuck = (words >= 10) & (4 * F.size(F.array_distinct(F.split(F.trim(line), SPACE + "+"))) < words)
-    return symbols | shouting | navigation | stuck | line.rlike(BOILERPLATE)
+#: One of these is in the lower-cased text of every document with a boilerplate line.
+HINTS = ("licensed under", "all rights", "terms of", "privacy policy", "cookies", "enable javascript", "copyright (c)", "our newsletter")
+
+
+def line_fails(line: Column, words: Column, flags: dict[str, Column]) -> Column:
+    """True for lines that are symbol noise, shouting, navigation, a stuck word, or boilerplate.
+
+    flags: of the whole document; a rule whose flag is false can't hit any of its lines.
+    """
+    n = F.size(words)
+    symbols = 10 * F.regexp_count(line, F.lit(SYMBOLS)) > F.length(F.array_join(words, ""))
+    shouting = (n >= 3) & (2 * F.regexp_count(line, F.lit(r"!!")) > n)
+    navigation = (F.regexp_count(line, F.lit(r" \| ")) >= 3) | ((n >= 4) & (2 * F.regexp_count(line, F.lit(r"[»›•|]")) > n))
+    stuck = (n >= 10) & (4 * F.size(F.array_distinct(words)) < n)
+    return (flags["symbols"] & symbols) | (flags["shouting"] & shouting) | (flags["navigation"] & navigation) | stuck | (flags["boilerplate"] & line.rlike(BOILERPLATE))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat: int = 50, min_left: int = 50) -> DataFrame:
@@ -63,24 +69,31 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     carried = [c for c in docs.columns if c not in OUTPUT]
     step = docs.select(*carried, t.alias("__t"))
-    step = step.select(*carried, "__t", F.filter(F.split("__t", SPACE + "+"), lambda w: w != "").alias("__w"), F.split("__t", "\n").alias("__l"))
-    step = step.select(*carried, "__t", "__l", F.size("__w").cast("long").alias("n_words"), _windows(F.col("__w")).alias("__g"))
+    lines = F.transform(F.split("__t", "\n"), lambda x: F.struct(x.alias("x"), F.array_remove(F.split(x, SPACE + "+"), "").alias("w")))
+    step = step.select(*carried, "__t", lines.alias("__l"), F.regexp_count("__t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), F.lower("__t").alias("__b"))
+    step = step.withColumn("__w", F.flatten(F.col("__l.w")))
+    hints = F.col("__b").contains(HINTS[0])
+    for h in HINTS[1:]:
+        hints = hints | F.col("__b").contains(h)
+    bars = F.col("__t").contains("|") | F.col("__t").contains("»") | F.col("__t").contains("›") | F.col("__t").contains("•")
+    flags = {"symbols": F.col("n_symbols") > 0, "shouting": F.col("__t").contains("!!"), "navigation": bars, "boilerplate": hints}
+    step = step.select(*carried, "__t", "__l", "__w", "n_symbols", *(c.alias(f"__{k}") for k, c in flags.items()), _windows(F.col("__w")).alias("__g"))
     step = step.withColumn("__some", F.size(F.array_distinct("__g")) < F.size("__g"))
     step = step.withColumn("__o", F.when(F.col("__some"), _sorted(F.col("__g"))))
     step = step.withColumn("__s", F.when(F.col("__some"), _starts(F.col("__o"))))
-    step = step.withColumn("__full", F.filter("__l", lambda x: x.rlike(WORD)))
-    step = step.withColumn("__good", F.filter("__l", lambda x: ~line_fails(x)))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    step = step.withColumn("__full", F.filter("__l", lambda x: F.size(x["w"]) > 0)["x"])
+    step = step.withColumn("__good", F.filter("__l", lambda x: ~line_fails(x["x"], x["w"], {k: F.col(f"__{k}") for k in flags}))["x"])
+    total = lambda c: F.length(F.array_join(c, ""))
     step = step.select(
         *carried,
-        "n_words",
-        (F.length("__t") - F.regexp_count("__t", F.lit(SPACE))).cast("long").alias("word_chars"),
-        F.regexp_count("__t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.size("__w").cast("long").alias("n_words"),
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        "n_symbols",
         (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_count(F.col("__s")), F.lit(0).cast("long")).alias("n_repeat_words"),
         (F.size("__l") - F.size("__good")).cast("long").alias("n_lines_removed"),
-        total("__l").alias("line_chars"),
-        total("__good").alias("left_chars"),
+        total(F.col("__l.x")).cast("long").alias("line_chars"),
+        total(F.col("__good")).cast("long").alias("left_chars"),
         F.array_join("__good", "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
