@@ -98,7 +98,10 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     step = step.withColumn("base_failed", failed)
-    return step.withColumn("kept", ~F.col("base_failed") & (100 * F.col("left_chars") >= min_left * F.col("line_chars")))
+    # the partition number keeps filters on the verdict above this projection: pushed below, they would be written out anew
+    # for each column that they rest on, and the condition would grow without bound
+    verdict = ~F.col("base_failed") & (100 * F.col("left_chars") >= min_left * F.col("line_chars"))
+    return step.withColumn("kept", verdict & (F.spark_partition_id() >= 0))
 
 
 OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "line_chars", "left_chars", "clean_text", "base_failed", "kept")
