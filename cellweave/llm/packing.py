@@ -27,10 +27,10 @@ SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 OUT = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-#: A chunk of Latin letters and closing punctuation: the tokenizer cuts it into the two, and lower-cases the first.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,:;!?]*)")
+#: A chunk of Latin letters and closing ASCII marks but apostrophes: the tokenizer cuts it into the two, and lower-cases the first.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-^`{-~]*)")
 #: Characters that str.split() takes for white space and the tokenizer does not.
-CONTROL = re.compile("[\x1c-\x1f]")
+CONTROL = "\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
@@ -39,7 +39,7 @@ class Encoder:
     Two generations of remembered words bound the memory: a full young one becomes the old one, and what is used again moves up.
     """
 
-    def __init__(self, path: str, end: int, remembered: int = 500_000):
+    def __init__(self, path: str, end: int, remembered: int = 800_000):
         import json
 
         from tokenizers import Tokenizer
@@ -91,19 +91,19 @@ class Encoder:
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if CONTROL.search(text):
-            return np.frombuffer(self._ids(text) + self.end.to_bytes(4, "little"), "<u4")
+        end = self.end.to_bytes(4, "little")
+        if any(c in text for c in CONTROL):
+            return np.frombuffer(self._ids(text) + end, "<u4")
         words = text.split()
-        known = self.young
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            self._learn(new)
+        ids = list(map(self.young.get, words))
+        if None in ids:
+            new = dict.fromkeys(w for w, i in zip(words, ids, strict=True) if i is None)
+            if 4 * len(new) > self.remembered:
+                return np.frombuffer(self._ids(text) + end, "<u4")
+            self._learn(list(new))
             known = self.young
-            if new := [w for w in dict.fromkeys(words) if w not in known]:  # a new generation began
-                if 4 * len(new) > self.remembered:
-                    return np.frombuffer(self._ids(text) + self.end.to_bytes(4, "little"), "<u4")
-                self._learn(new)
-                known = self.young
-        return np.frombuffer(b"".join([known[w] for w in words]) + self.end.to_bytes(4, "little"), "<u4")
+            ids = [known[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+        return np.frombuffer(b"".join(ids) + end, "<u4")
 
 
 @functools.cache

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +34,10 @@ def with_sequence(rows: DataFrame, order: Column, base: int = 1, parts: int = 64
     """Gap-free sequence numbers in the given order, without bringing all rows to one task.
 
     Rows are dealt by ranges of the order, numbered within their range, and moved up by the sizes of the ranges before, of which
-    there are ``parts`` at most.
+    there are ``parts`` at most. The ranges are kept on disk, since sizes and rows must come from the same borders; a lost part
+    is dealt again by the borders that the kept plan has.
     """
-    ranged = rows.withColumn("__o", order).repartitionByRange(parts, "__o").sortWithinPartitions("__o").withColumn("__p", F.spark_partition_id())
+    ranged = rows.withColumn("__o", order).repartitionByRange(parts, "__o").withColumn("__p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     sizes = ranged.groupBy("__p").count()
     before = sizes.withColumn("__b", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
     within = F.row_number().over(Window.partitionBy("__p").orderBy("__o"))
