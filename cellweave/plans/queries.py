@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, hashing, hlc
@@ -340,7 +340,7 @@ ORACLES = {
     "q_encode_key": f"SELECT event_id, {_KEYHEX} AS key_hex FROM ({_EV}) AS e",
     "q_decode_key": f"SELECT event_id, CAST(user_id AS VARCHAR) AS partition_key, day AS clustering_key, event_type AS column_name FROM ({_EV}) AS e",
     "q_key_order": f"SELECT user_id, day, event_type, row_number() OVER (ORDER BY encode(CAST(user_id AS VARCHAR)), encode(day), encode(event_type)) AS place FROM (SELECT DISTINCT user_id, day, event_type FROM ({_EV}) AS e) AS k",
-    "q_decode_malformed": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'true' if v else 'false'})" for k, v in zip(MALFORMED, (0, 0, 0, 0, 0, 0, 1, 0, 1, 1, 1), strict=True)) + ") AS t(key_hex, valid)",
+    "q_decode_malformed": "SELECT key_hex, regexp_full_match(regexp_replace(key_hex, '(..)', '\\1 ', 'g'), '(((0[1-9A-F]|[1-9A-F].) |00 FF )*00 01 ){3}(.. )*') AS valid FROM (VALUES " + ", ".join(f"('{k}')" for k in MALFORMED) + ") AS t(key_hex)",
     "q_int_codec": "SELECT o_orderkey, printf('%04X', o_orderkey % 65536) AS u16, printf('%08X', o_orderkey) AS u32, printf('%016X', o_orderkey * 1000003) AS u64, o_orderkey * 1000003 AS back FROM orders",
     "q_merge_two_runs": _newest(f"SELECT * FROM ({_EV}) AS e WHERE event_id % 3 < 2"),
     "q_tombstones_kept": _newest(f"SELECT * FROM ({_EV}) AS e WHERE event_id % 3 < 2"),
