@@ -58,10 +58,8 @@ def crc32c_batch(values: list[bytes]) -> list[int]:
 
 @F.pandas_udf(T.LongType())
 def crc32c_column(data: pd.Series) -> pd.Series:
-    known = data.notna()
-    out = pd.Series([None] * len(data), index=data.index, dtype="Int64")
-    out[known] = crc32c_batch([bytes(b) for b in data[known]])
-    return out
+    sums = iter(crc32c_batch([bytes(b) for b in data if b is not None]))
+    return pd.Series([None if b is None else next(sums) for b in data], dtype="Int64")
 
 
 def hash32(data: bytes, seed: int) -> int:
