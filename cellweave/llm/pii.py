@@ -3,7 +3,7 @@
 One regular expression finds candidates; a validator for each kind decides. Payment numbers (Luhn), phone numbers, social
 security numbers, IPv4 addresses and dates are permuted by a keyed alternating Feistel network inside their own format: the
 result is again a valid value of the same kind, and since the permutation is keyed but not salted, equal values stay linked
-across documents. E-mail addresses and secrets (hex or base-62 strings after a key-like name) get a keyed digest in their form.
+across documents. E-mail addresses and secrets (hex or base-62 strings after a key-like name, and access keys) get a keyed digest in their form.
 Candidates that fail validation (numbers with a wrong check digit, impossible dates) are left as they are.
 
 Defined results: a null text stays null with no findings; the empty text stays empty; texts without a digit or an at-sign are
@@ -23,9 +23,11 @@ SECRET = r"(?<=(?i:token|secret|passwd|password|api_key|apikey|access_key)\x20?[
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
 DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w-]|\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-PHONE = r"(?<!\w)\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,3}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
-ANY = "|".join((EMAIL, SECRET, IP, DATE, SSN, PHONE, CARD))
+PHONE = r"(?<!\w)\+\d{1,3} ?\(\d{2,4}\) ?\d{3,4}[ -]?\d{3,4}(?![\w-]|\.\d)|(?<!\w)\+\d{1,3}(?:[ -]\d{1,4}){2,5}(?![\w-]|\.\d)|(?<!\w)\+\d{8,15}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"
+#: One run of digits, groups of four, or 4-6-5; a number beside a card number is none of its groups.
+CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})(?![\w-])"
+ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
+ANY = "|".join((EMAIL, SECRET, ACCESS_KEY, IP, DATE, SSN, PHONE, CARD))
 
 #: Dates in this many days from 1900-01-01 are permuted among themselves (a product of two factors, as the network needs).
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 250, 292
@@ -174,7 +176,7 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """Replaces the text and adds ``n_masked`` and ``kinds`` (the kinds found, sorted)."""
     carried = [c for c in docs.columns if c not in ("n_masked", "kinds")]
-    some = F.coalesce(F.col(text).rlike("[0-9@]|(?i:token|secret|passw|key)"), F.lit(False))
+    some = F.coalesce(F.col(text).rlike("[0-9@]|(?i:token|secret|passw|key)|A[KS]IA"), F.lit(False))
     none = F.array().cast("array<string>")
     found = docs.select(*carried, F.when(some, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(none).alias("__m"))
     found = found.withColumn("__k", F.transform("__m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
