@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, small, stored, tokens
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word of a text that isn't lower-cased yet.
-INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -99,7 +97,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 8, min_items: i
         F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     found = spans.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), _covered(F.col("spans")).alias("n_hit"), "items")
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.regexp_count(text, F.lit(INSIDE)), F.lit(0)).cast("long").alias("n_words"))
+    every = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
     both = every.join(found, every["doc_id"].eqNullSafe(found["hit_id"]) & (every["text_hash"] == found["hit_hash"]), "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return both.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), (F.size(listed) >= min_items).alias("contaminated"))
