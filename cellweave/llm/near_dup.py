@@ -210,8 +210,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     schema = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, signature binary"
     sketches = stored(own.mapInArrow(_sketch(width, bands, rows), schema), "sketches")
     labels = components(stored(near_duplicate_links(own, sketches, width, percent), "links"))
-    classes = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    named = classes.join(labels, "node", "left").select(F.col("set_key").alias("k"), F.coalesce("component", "node").alias("c"))
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(named, F.col("set_key") == F.col("k"), "left")
+    # one row for each class that has copies or links, stored: the join meets plain rows, so that a class with a third of all
+    # documents is split over several tasks
+    classes = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
+    named = classes.join(labels, "node", "left").where("component is not null or node <> last").select(F.col("set_key").alias("k"), F.coalesce("component", "node").alias("c"))
+    named = stored(named, "classes")
+    out = sketches.select("doc_id", "n_shingles", "set_key").join(small(named, named.count()), F.col("set_key") == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
