@@ -9,8 +9,9 @@
    the full sets decide the others.
 4. Two members of a bucket that are not both linked to its pivot may still be linked to each other. Relative to the pivot a
    set is a bit mask over the pivot's shingles and the few shingles besides; on those the overlaps of all members of a star
-   are exact matrix products. A star is worked on in pairs of blocks of bounded size, and what leaves it is a spanning forest
-   of its links: no pairs are stored, none of the links between different components is lost.
+   are exact matrix products. A star is worked on in pairs of blocks of bounded size, of which one at least holds members that
+   are not linked to the pivot, and what leaves it is a spanning forest of its links: no pairs are stored, none of the links
+   between different components is lost.
 5. Alternating large-star and small-star find the components; classes carry them back to all documents.
 
 Defined results: null texts, and texts without words, are linked with nothing; rows that repeat a doc_id with another text count
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -172,6 +173,20 @@ def _stars(percent: int):
     return work
 
 
+def _pairs_of_blocks() -> Column:
+    """The pairs of blocks that a member belongs to: ``a`` blocks of members that are not linked to the pivot, then ``c`` of linked ones.
+
+    A loose block meets every block; linked members are linked through the pivot, so their blocks never meet each other.
+    """
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    a, c = F.col("a"), F.col("c")
+    own = F.pmod("h", F.when(F.col("linked"), c).otherwise(a)).cast("int")
+    loose = F.filter(F.transform(up_to(a), lambda o: pair(F.least(own, o), F.greatest(own, o))), lambda x: (x["i"] != x["j"]) | (c == 0))
+    across = F.transform(up_to(c), lambda o: pair(own, a + o))
+    return F.when(F.col("linked"), F.transform(up_to(a), lambda o: pair(o, a + own))).otherwise(F.concat(loose, across))
+
+
 def near_duplicate_links(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v): links between classes, each named by its least doc_id, enough to connect all that are connected."""
     spark = docs.sparkSession
@@ -194,11 +209,12 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, width: int, perce
     full = pairs.join(member, "x").join(pivot, "p").select("p", "x", "pt", "xt", "ps", "xs")
     star = stored(full.mapInArrow(_verify(width, percent), STAR_SQL), "stars")
     direct = star.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
-    sizes = star.groupBy("p").agg(F.count("*").alias("m"), F.min("linked").alias("all")).where("m > 1 and not all")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    dealt = star.join(sizes.select("p", "m"), "p").withColumn("b", F.pmod(F.xxhash64("x"), blocks).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("p", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "x", "pn", "linked", "n", "mask", "beside")
+    loose = F.sum(F.when(F.col("linked"), 0).otherwise(1))
+    sizes = stored(star.groupBy("p").agg(F.count("*").alias("m"), loose.alias("loose")).where("m > 1 and loose > 0"), "sizes")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sized = sizes.select("p", blocks(F.col("loose")).alias("a"), blocks(F.col("m") - F.col("loose")).alias("c"))
+    dealt = star.join(small(sized, sizes.count()), "p").withColumn("h", F.xxhash64("x")).withColumn("at", F.explode(_pairs_of_blocks()))
+    dealt = dealt.select("p", "at.i", "at.j", "x", "pn", "linked", "n", "mask", "beside")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cross = dealt.repartition(n, "p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_stars(percent), "u bigint, v bigint")
     return direct.union(cross)
