@@ -1,0 +1,57 @@
+import pytest
+
+from cellweave import errors
+from cellweave.sources import wal
+
+
+def key(k):
+    return k + b"\0\1" + b"c\0\1" + b"v\0\1"
+
+
+def records(n=5):
+    return [wal.encode_record(wal.PUT if i != 2 else wal.DELETE, 100 + i, i + 1, key(b"k%d" % i), b"" if i == 2 else b"value%d" % i) for i in range(n)]
+
+
+def test_records_round_trip_and_end():
+    reader = wal.RecordReader(b"".join(records()))
+    got = [reader.next() for _ in range(5)]
+    assert [r[2] for r in got] == [1, 2, 3, 4, 5] and got[1] == (wal.PUT, 101, 2, key(b"k1"), b"value1") and got[2][0] == wal.DELETE
+    with pytest.raises(errors.EndOfLog):
+        reader.next()
+
+
+def test_a_torn_or_damaged_record_is_told_apart_from_the_end():
+    raw = b"".join(records(4))
+    reader = wal.RecordReader(raw[:-5])
+    for _ in range(3):
+        reader.next()
+    with pytest.raises(errors.BadConfig):
+        reader.next()
+    one = bytearray(records(1)[0])
+    one[-1] ^= 1
+    with pytest.raises(errors.BadConfig):
+        wal.decode_record(bytes(one))
+    with pytest.raises(errors.OutOfRange):
+        wal.decode_record(bytes(one)[:10])
+
+
+def test_segments_are_read_by_spark(spark, tmp_path):
+    (tmp_path / "wal_00000001.log").write_bytes(b"".join(records())[:-3])
+    (tmp_path / "wal_00000002.log").write_bytes(b"".join(records(2)))
+    (tmp_path / "wal_00000003.log").write_bytes(b"")
+    (tmp_path / "other.log").write_bytes(b"x")
+    rows = wal.read_segments(spark, str(tmp_path))
+    assert sorted((r["segment"], r["valid"]) for r in rows.select("segment", "valid").collect()) == [(1, False)] + [(1, True)] * 4 + [(2, True)] * 2
+    assert wal.read_segments(spark, str(tmp_path), active=2).count() == 5
+    log = {bytes(r["partition_key"]): r for r in wal.to_log(rows.where("segment = 1")).collect()}
+    assert bytes(log[b"k1"]["value"]) == b"value1" and log[b"k2"]["is_tombstone"] and log[b"k2"]["value"] is None
+
+
+def test_stream_gives_the_newest_version_of_every_key(spark, tmp_path):
+    from cellweave.streaming import latest
+
+    schema = "k string, sequence bigint, v string"
+    for i, rows in enumerate([[("a", 1, "x"), ("b", 5, "y")], [("a", 3, "z"), ("b", 2, "late")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = latest.run_to_table(latest.stream_latest(latest.read_log(spark, str(tmp_path / "in"), schema), ["k"], ["v"]))
+    assert sorted(map(tuple, out.collect())) == [("a", 3, "z"), ("b", 5, "y")]
