@@ -14,8 +14,8 @@
    between different components is lost.
 5. Alternating large-star and small-star find the components; classes carry them back to all documents.
 
-Defined results: null texts, and texts without words, are linked with nothing; rows that repeat a doc_id with another text count
-as one document; a null doc_id is a component of its own, with null as its id, and is kept; other columns are
+Defined results: null texts, and texts without words, are linked with nothing; rows that repeat a doc_id with another text are
+linked with each other; a null doc_id is a component of its own, with null as its id, and is kept; other columns are
 not read.
 """
 
@@ -225,10 +225,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, signature binary"
     sketches = stored(own.mapInArrow(_sketch(width, bands, rows), schema), "sketches")
-    labels = components(stored(near_duplicate_links(own, sketches, width, percent), "links"))
+    keyed = sketches.where("set_key is not null and doc_id is not null")
+    classes = keyed.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
+    links = near_duplicate_links(own, sketches, width, percent)
+    twice = stored(keyed.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id"), "repeated")
+    if n := twice.count():
+        several = keyed.join(small(twice, n), "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(classes, "set_key").select("doc_id", "node")
+        links = links.union(several.join(several.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").select("u", F.col("node").alias("v")))
+    labels = components(stored(links, "links"))
     # one row for each class that has copies or links, stored: the join meets plain rows, so that a class with a third of all
     # documents is split over several tasks
-    classes = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
     named = classes.join(labels, "node", "left").where("component is not null or node <> last").select(F.col("set_key").alias("k"), F.coalesce("component", "node").alias("c"))
     named = stored(named, "classes")
     out = sketches.select("doc_id", "n_shingles", "set_key").join(small(named, named.count()), F.col("set_key") == F.col("k"), "left")

@@ -35,24 +35,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least doc_id; of rows that repeat a doc_id, one."""
+    """One document of each group of near-duplicates stays, the one with the least doc_id; of rows that repeat a doc_id, the least in the order of its columns."""
     found = stored(near_duplicates(docs).select("doc_id", "kept"), "near-dup")
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(small(gone, gone.count(), ID_ROWS), F.col("doc_id") == F.col("gone"), "left_anti")
-    twice = stored(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again"), "repeated")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(small(gone, gone.count(), ID_ROWS), F.col("doc_id") == F.col("__gone"), "left_anti")
+    twice = stored(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"), "repeated")
     n = twice.count()
     if not n:
         return left
     again = small(twice, n, ID_ROWS)
-    once = left.join(again, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionByName(once)
+    ordered = [c for c, kind in left.dtypes if "map<" not in kind and kind != "variant"]
+    some = left.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
+    once = some.groupBy("doc_id").agg(F.min_by(F.struct(*left.columns), F.struct(*ordered)).alias("__row")).select("__row.*")
+    return left.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(once)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of two or more test items go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_hash")).distinct()
+    """Documents with a passage of any test item go: eight words in a row, or a whole shorter item."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), min_items=1).where("contaminated").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
     found = stored(found, "leaks")
-    same = F.col("doc_id").eqNullSafe(F.col("gone")) & (F.xxhash64("text") == F.col("gone_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__hash"))
     return docs.join(small(found, found.count()), same, "left_anti")
 
 

@@ -1,0 +1,79 @@
+import hashlib
+import re
+
+import pytest
+from corpus_cases import LONG, ODD, documents, low
+from pyspark.sql import functions as F
+
+from cellweave.llm import decontaminate as op
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
+
+
+def brute(docs, items, size=8):
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        if i is not None and w:
+            for s in range(max(1, len(w) - size + 1)):
+                windows.setdefault(tuple(w[s : s + size]), set()).add(str(i))
+    out = []
+    for d, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for s in range(len(w) - n + 1):
+                if at := windows.get(tuple(w[s : s + n])):
+                    hit |= set(range(s, s + n))
+                    found |= at
+        out.append((d, len(w), len(hit), sorted(found), len(found) >= 2))
+    return sorted(out, key=str)
+
+
+def rows_of(df):
+    return sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in df.collect()), key=str)
+
+
+PASSAGE = "the quick brown fox jumps over the lazy dog again and again until night"
+ITEMS = [(1, PASSAGE), (2, "over the lazy dog again and again until"), (3, "two words"), (3, "two words"), (4, None), (5, " .. "), (None, PASSAGE), (10, "x x x x x x x x x x")]
+DOCS = [
+    *ODD, (20, "Before. " + PASSAGE.upper() + "! after"), (21, PASSAGE), (21, PASSAGE), (21, "two words"), (22, "x " * 30), (23, "a two-words b two   words two words"),
+    (24, " ".join(PASSAGE.split()[:7])), (25, LONG + " " + PASSAGE + " " + LONG), (26, "TWO\u00a0words"), (27, "two wordsé"), (None, PASSAGE),
+]
+
+
+def test_equals_brute_force(spark):
+    docs = documents(spark, DOCS, extra=("term", "words", "items", "anchor", "text_hash", "pos"))
+    items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id bigint, text string, doc_id string")
+    assert rows_of(op.decontaminate(docs, items)) == brute(DOCS, ITEMS)
+
+
+def test_shuffled_joins_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(op, "small", lambda df, *_: df)
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    assert rows_of(op.decontaminate(documents(spark, DOCS), items)) == brute(DOCS, ITEMS)
+
+
+@pytest.mark.parametrize("empty", ["docs", "items"])
+def test_empty_tables(spark, empty):
+    docs = documents(spark, [] if empty == "docs" else DOCS[:3])
+    items = spark.createDataFrame([] if empty == "items" else ITEMS, "item_id bigint, text string")
+    rows = op.decontaminate(docs, items).collect()
+    assert len(rows) == docs.count() and not any(r["contaminated"] for r in rows)
+
+
+def test_proximity_finds_the_words_in_any_order(spark):
+    docs = documents(spark, [(1, "w1 fox brown quick zz"), (2, "fox only here"), (3, "quick aaa bbb ccc ddd eee fff ggg hhh brown fox")])
+    windows = op.test_windows(spark.createDataFrame([(1, "quick brown fox")], "item_id int, text string"), 8)
+    anchors = op.anchored(windows, op.term_counts(docs, windows))
+    index = op.postings(docs, anchors, 5)
+    assert [r["doc_id"] for r in op.proximity_matches(index, anchors, 1).select("doc_id").distinct().collect()] == [1]
+
+
+def test_query_digest(spark, sf_dir):
+    from cellweave.llm.queries import op1_decontaminate
+
+    row = op1_decontaminate(spark, sf_dir).where("n_items = 0").first()
+    assert row["items_sha256"] == hashlib.sha256(b"").hexdigest() and not row["contaminated"]
+    assert op1_decontaminate(spark, sf_dir).where(F.col("n_hit") >= 8).count() > 0
