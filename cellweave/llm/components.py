@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+#: Edges that one task writes in a round; a round over few edges is not spread over many small files.
+ROWS_OF_A_TASK = 200_000
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -41,5 +45,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(mark) == before or not mark[0]:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         before = tuple(mark)
-        now = stored(small_star(large_star(now)), "edges")
+        parts = min(int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")), mark[0] // ROWS_OF_A_TASK + 1)
+        now = stored(small_star(large_star(now)).coalesce(parts), "edges")
     raise RuntimeError("components did not converge")

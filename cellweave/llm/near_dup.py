@@ -198,19 +198,24 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, width: int, perce
     ranked = members.select("key", "id").join(mates, "id")
     pivots = ranked.groupBy("key").agg(F.min(F.struct((-F.col("mates")).alias("r"), F.col("id"))).alias("p")).select("key", F.col("p.id").alias("p"))
     pairs = stored(members.select("key", "id").join(pivots, "key").where("id <> p").select("p", F.col("id").alias("x")).distinct(), "pairs")
-    used = stored(pairs.select(F.explode(F.array("p", "x")).alias("id")).distinct(), "used")
-    rows = used.count()
-    wanted = small(used, rows, 1_000_000)
+    used = pairs.select(F.explode(F.array("p", "x")).alias("id")).distinct()
+    wanted = small(used, 2 * pairs.count(), 1_000_000)
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(wanted, "id", "left_semi")
     signs = sketches.where("set_key is not null").select(F.col("doc_id").alias("id"), "signature").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("signature").alias("s"))
     texts = texts.groupBy("id", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t")).select("id", "t").join(signs, "id")
     member = texts.select(F.col("id").alias("x"), F.col("t").alias("xt"), F.col("s").alias("xs"))
     pivot = texts.select(F.col("id").alias("p"), F.col("t").alias("pt"), F.col("s").alias("ps"))
-    full = pairs.join(member, "x").join(pivot, "p").select("p", "x", "pt", "xt", "ps", "xs")
+    # a pivot with many members meets them in parts, so that no star is one task's work
+    large = pairs.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    large = small(large, large.count())
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(large, "p", "left").select("p", "x", F.pmod(F.xxhash64("x"), parts).cast("int").alias("part"))
+    pivot = pivot.join(large, "p", "left").select("p", "pt", "ps", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    full = dealt.join(member, "x").join(pivot, ["p", "part"]).select("p", "x", "pt", "xt", "ps", "xs")
     star = stored(full.mapInArrow(_verify(width, percent), STAR_SQL), "stars")
     direct = star.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
     loose = F.sum(F.when(F.col("linked"), 0).otherwise(1))
-    sizes = stored(star.groupBy("p").agg(F.count("*").alias("m"), loose.alias("loose")).where("m > 1 and loose > 0"), "sizes")
+    sizes = star.groupBy("p").agg(F.count("*").alias("m"), loose.alias("loose")).where("m > 1 and loose > 0")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     sized = sizes.select("p", blocks(F.col("loose")).alias("a"), blocks(F.col("m") - F.col("loose")).alias("c"))
     dealt = star.join(small(sized, sizes.count()), "p").withColumn("h", F.xxhash64("x")).withColumn("at", F.explode(_pairs_of_blocks()))
@@ -228,11 +233,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, bands: i
     keyed = sketches.where("set_key is not null and doc_id is not null")
     classes = keyed.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"))
     links = near_duplicate_links(own, sketches, width, percent)
-    twice = stored(keyed.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id"), "repeated")
+    twice = keyed.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id")
     if n := twice.count():
         several = keyed.join(small(twice, n), "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(classes, "set_key").select("doc_id", "node")
         links = links.union(several.join(several.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").select("u", F.col("node").alias("v")))
-    labels = components(stored(links, "links"))
+    labels = components(links)
     # one row for each class that has copies or links, stored: the join meets plain rows, so that a class with a third of all
     # documents is split over several tasks
     named = classes.join(labels, "node", "left").where("component is not null or node <> last").select(F.col("set_key").alias("k"), F.coalesce("component", "node").alias("c"))
