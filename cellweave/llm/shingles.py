@@ -15,7 +15,7 @@ class _Words(dict):
     """Hashes of words, kept within a worker; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
