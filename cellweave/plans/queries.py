@@ -203,6 +203,13 @@ def q_wal_replay(spark, d):
     return _cells_of(replay.replayed(_wal(events_log(spark, d)), 8))
 
 
+def q_wal_replay_whole(spark, d):
+    """Every segment of the log: the active one is the one after the last."""
+    wal = _wal(events_log(spark, d))
+    last = wal.agg(F.max("segment")).first()[0]
+    return _cells_of(replay.replayed(wal, 0 if last is None else last + 1))
+
+
 def _cells_of(records: DataFrame) -> DataFrame:
     return resolve.latest(_cells(records), KEYS)
 
@@ -365,6 +372,7 @@ p AS (SELECT c_nationkey, arg_min(ids, ids[1]) AS ids FROM b GROUP BY c_nationke
 SELECT n.c_nationkey, array_to_string(list_slice(p.ids, 1, 5), ',') AS inputs FROM (SELECT DISTINCT c_nationkey FROM r) AS n LEFT JOIN p ON n.c_nationkey = p.c_nationkey""",
     "q_can_drop": f"""SELECT c_nationkey, true AS oldest, len(ids) <= 2 AS newest, true AS "all", false AS "none" FROM (SELECT c_nationkey, list_sort(list(id)) AS ids FROM ({_CUST}) AS c GROUP BY c_nationkey) AS g""",
     "q_wal_replay": _newest(f"SELECT * FROM ({_WALSQL}) AS w WHERE segment < 8"),
+    "q_wal_replay_whole": _newest(_WALSQL),
     "q_torn_tail": _newest(_TORN),
     "q_torn_tail_join": _newest(_TORN),
     "q_seq_assign": "SELECT o_orderkey, o_custkey, 99 + row_number() OVER (ORDER BY o_custkey, o_orderkey) AS sequence FROM orders",

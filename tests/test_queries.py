@@ -28,3 +28,8 @@ def test_key_filter_reaches_the_scan(spark, sf_dir):
     assert "EqualTo(user_id,5)" in plan and "EqualTo(event_type,click)" in plan and "props" not in plan.split("ReadSchema")[1]
     live = queries.q_latest_live(spark, sf_dir).where(F.col("value") > 10)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value" not in live  # a filter on values stays above the resolution
+
+
+def test_whole_replay_reaches_the_last_segment(spark, sf_dir):
+    last = queries.events_log(spark, sf_dir).agg({"sequence": "max"}).first()[0]
+    assert queries.q_wal_replay_whole(spark, sf_dir).agg({"sequence": "max"}).first()[0] == last
