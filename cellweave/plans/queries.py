@@ -147,6 +147,14 @@ def q_superseded(spark, d):
 
 def q_history(spark, d):
     log = events_log(spark, d).where("user_id < 20").select(*KEYS, "sequence")
+    return _history(log)
+
+
+def q_history_whole(spark, d):
+    return _history(events_log(spark, d).select(*KEYS, "sequence"))
+
+
+def _history(log: DataFrame) -> DataFrame:
     return resolve.history(log, KEYS).select(*KEYS, "sequence", F.col("version").cast("bigint").alias("version"), "replaced_by")
 
 
@@ -160,16 +168,33 @@ def q_reclaimable(spark, d):
 def _edits(orders: DataFrame) -> DataFrame:
     gone = F.collect_set(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 37))
     come = F.collect_set(F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") % 40))
-    return orders.where("o_orderkey % 31 = 0").groupBy((F.col("o_orderkey") % 20).alias("version")).agg(gone.alias("removed"), come.alias("added"))
+    return orders.groupBy((F.col("o_orderkey") % 20).alias("version")).agg(gone.alias("removed"), come.alias("added"))
+
+
+def _some_orders(orders: DataFrame) -> DataFrame:
+    return orders.where("o_orderkey % 31 = 0")
 
 
 def q_version_apply(spark, d):
+    return versions.files_at(_edits(_some_orders(_table(spark, d, "orders"))))
+
+
+def q_version_apply_whole(spark, d):
     return versions.files_at(_edits(_table(spark, d, "orders")))
 
 
+def _stale(orders: DataFrame, edited: DataFrame) -> DataFrame:
+    return versions.stale(orders.select((F.col("o_custkey") % 50).alias("file_id")).distinct(), versions.files_at(_edits(edited), 9))
+
+
 def q_version_stale(spark, d):
     o = _table(spark, d, "orders")
-    return versions.stale(o.select((F.col("o_custkey") % 50).alias("file_id")).distinct(), versions.files_at(_edits(o), 9))
+    return _stale(o, _some_orders(o))
+
+
+def q_version_stale_whole(spark, d):
+    o = _table(spark, d, "orders")
+    return _stale(o, o)
 
 
 def q_snapshot_at(spark, d):
@@ -178,23 +203,42 @@ def q_snapshot_at(spark, d):
     return resolve.live(log.withColumn("at_sequence", F.explode(marks)), ("at_sequence", *KEYS))
 
 
-def _customer_runs(spark, d):
-    c = _table(spark, d, "customer").where("c_custkey % 5 < 2")
+def _customer_runs(customers: DataFrame) -> DataFrame:
     size = (F.floor(F.abs(F.col("c_acctbal")) * 10) + 1).cast("bigint")
-    return c.groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("file_id"), size.alias("size_bytes"))).alias("runs"))
+    return customers.groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("file_id"), size.alias("size_bytes"))).alias("runs"))
+
+
+def _some_customers(spark, d):
+    return _table(spark, d, "customer").where("c_custkey % 5 < 2")
+
+
+def _picked(runs: DataFrame) -> DataFrame:
+    return runs.select("c_nationkey", F.array_join(compaction.size_tier_pick(F.col("runs"), 3, 5), ",").alias("inputs"))
 
 
 def q_size_tier_pick(spark, d):
-    return _customer_runs(spark, d).select("c_nationkey", F.array_join(compaction.size_tier_pick(F.col("runs"), 3, 5), ",").alias("inputs"))
+    return _picked(_customer_runs(_some_customers(spark, d)))
 
 
-def q_can_drop(spark, d):
-    r = _customer_runs(spark, d).withColumn("live", F.col("runs.file_id"))
+def q_size_tier_pick_whole(spark, d):
+    return _picked(_customer_runs(_table(spark, d, "customer")))
+
+
+def _droppable(runs: DataFrame) -> DataFrame:
+    r = runs.withColumn("live", F.col("runs.file_id"))
     picks = {"oldest": F.slice(F.sort_array("live"), 1, 2), "newest": F.slice(F.sort_array("live", False), 1, 2), "all": F.col("live"), "none": F.array().cast("array<bigint>")}
     one = r.select("c_nationkey", *(compaction.can_drop_column(F.col("live"), p).alias(k) for k, p in picks.items()))
     return one.select("c_nationkey", *picks)
 
 
+def q_can_drop(spark, d):
+    return _droppable(_customer_runs(_some_customers(spark, d)))
+
+
+def q_can_drop_whole(spark, d):
+    return _droppable(_customer_runs(_table(spark, d, "customer")))
+
+
 def _wal(log: DataFrame) -> DataFrame:
     return log.withColumn("segment", F.floor(F.col("event_id") / 100).cast("bigint")).withColumn("offset", F.col("event_id") % 100).withColumn("valid", F.col("event_id") % 61 != 60)
 
@@ -329,6 +373,8 @@ def _pairs(x: str) -> str:
 _KEYHEX = " || ".join(_pairs(f"CAST({c} AS VARCHAR)") for c in KEYS)
 _EDITS = """SELECT o_orderkey % 20 AS version, o_custkey % 37 AS file_id, 0 AS added FROM orders WHERE o_orderkey % 31 = 0 AND o_orderkey % 3 = 0
 UNION SELECT o_orderkey % 20, o_custkey % 40, 1 FROM orders WHERE o_orderkey % 31 = 0 AND o_orderkey % 5 = 0"""
+_ALL_EDITS = """SELECT o_orderkey % 20 AS version, o_custkey % 37 AS file_id, 0 AS added FROM orders WHERE o_orderkey % 3 = 0
+UNION SELECT o_orderkey % 20, o_custkey % 40, 1 FROM orders WHERE o_orderkey % 5 = 0"""
 _FILES = "SELECT file_id FROM (SELECT file_id, added, row_number() OVER (PARTITION BY file_id ORDER BY version DESC, added DESC) AS rn FROM ({0}) AS e {1}) AS x WHERE rn = 1 AND added = 1"
 _WALSQL = f"SELECT *, event_id // 100 AS segment, event_id % 100 AS place, event_id % 61 <> 60 AS valid FROM ({_EV}) AS e"
 _TORN = f"SELECT * FROM (SELECT *, bool_and(valid) OVER (PARTITION BY segment ORDER BY place ROWS UNBOUNDED PRECEDING) AS ok FROM ({_WALSQL}) AS w) AS t WHERE ok"
@@ -356,8 +402,11 @@ ORACLES = {
     "q_live_bytes": f"SELECT user_id, CAST(sum(strlen(CAST(user_id AS VARCHAR)) + strlen(day) + strlen(event_type) + CASE WHEN is_tombstone THEN 0 ELSE coalesce(strlen(props), 0) END) AS BIGINT) AS live_bytes FROM ({_newest(_EV, out='*')}) AS n GROUP BY user_id",
     "q_superseded": f"SELECT event_type, CAST(sum(v) AS BIGINT) AS versions, count(*) AS addresses, CAST(sum(v - 1) AS BIGINT) AS hidden FROM (SELECT user_id, day, event_type, count(*) AS v FROM ({_EV}) AS e GROUP BY ALL) AS g GROUP BY event_type",
     "q_history": f"SELECT user_id, day, event_type, sequence, row_number() OVER w AS version, lead(sequence) OVER w AS replaced_by FROM ({_EV}) AS e WHERE user_id < 20 WINDOW w AS (PARTITION BY user_id, day, event_type ORDER BY sequence)",
+    "q_history_whole": f"SELECT user_id, day, event_type, sequence, row_number() OVER w AS version, lead(sequence) OVER w AS replaced_by FROM ({_EV}) AS e WINDOW w AS (PARTITION BY user_id, day, event_type ORDER BY sequence)",
     "q_reclaimable": "SELECT DISTINCT o_custkey % 60 AS file_id FROM orders WHERE o_custkey % 60 NOT IN (SELECT o_custkey % 41 FROM orders WHERE o_orderkey % 20 >= 18)",
     "q_version_apply": _FILES.format(_EDITS, ""),
+    "q_version_apply_whole": _FILES.format(_ALL_EDITS, ""),
+    "q_version_stale_whole": f"SELECT DISTINCT o_custkey % 50 AS file_id FROM orders WHERE o_custkey % 50 NOT IN ({_FILES.format(_ALL_EDITS, 'WHERE version <= 9')})",
     "q_version_stale": f"SELECT DISTINCT o_custkey % 50 AS file_id FROM orders WHERE o_custkey % 50 NOT IN ({_FILES.format(_EDITS, 'WHERE version <= 9')})",
     "q_snapshot_at": _live(f"SELECT * FROM ({_EV}) AS e JOIN (VALUES (100), (500), (900)) AS m(at_sequence) ON sequence <= at_sequence", "at_sequence, user_id, day, event_type", "at_sequence, user_id, day, event_type, value, sequence"),
     "q_size_tier_pick": f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY size, id) AS k FROM ({_CUST}) AS c),
@@ -371,6 +420,7 @@ b AS (SELECT c_nationkey, bucket, list_sort(list(id)) AS ids FROM s GROUP BY c_n
 p AS (SELECT c_nationkey, arg_min(ids, ids[1]) AS ids FROM b GROUP BY c_nationkey)
 SELECT n.c_nationkey, array_to_string(list_slice(p.ids, 1, 5), ',') AS inputs FROM (SELECT DISTINCT c_nationkey FROM r) AS n LEFT JOIN p ON n.c_nationkey = p.c_nationkey""",
     "q_can_drop": f"""SELECT c_nationkey, true AS oldest, len(ids) <= 2 AS newest, true AS "all", false AS "none" FROM (SELECT c_nationkey, list_sort(list(id)) AS ids FROM ({_CUST}) AS c GROUP BY c_nationkey) AS g""",
+    "q_can_drop_whole": """SELECT c_nationkey, true AS oldest, len(ids) <= 2 AS newest, true AS "all", false AS "none" FROM (SELECT c_nationkey, list_sort(list(c_custkey)) AS ids FROM customer GROUP BY c_nationkey) AS g""",
     "q_wal_replay": _newest(f"SELECT * FROM ({_WALSQL}) AS w WHERE segment < 8"),
     "q_wal_replay_whole": _newest(_WALSQL),
     "q_torn_tail": _newest(_TORN),
@@ -387,3 +437,4 @@ SELECT n.c_nationkey, array_to_string(list_slice(p.ids, 1, 5), ',') AS inputs FR
     "q_stream_latest": f"SELECT user_id, event_type, sequence, value, is_tombstone FROM ({_newest(_EV, 'user_id, event_type', out='*')}) AS n",
     "q_store_roundtrip": f"SELECT CAST(user_id AS VARCHAR) AS user_id, day, event_type, props AS value FROM ({_live('SELECT user_id, day, event_type, value, props, (event_id % 4) * 1000000000 + event_id AS sequence, is_tombstone FROM (' + _EV + ') AS e', out='*')}) AS n",
 }
+ORACLES["q_size_tier_pick_whole"] = ORACLES["q_size_tier_pick"].replace(" WHERE c_custkey % 5 < 2", "")
