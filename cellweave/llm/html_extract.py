@@ -3,9 +3,9 @@
 A page is read once into its blocks of text, each with its root-to-leaf path of block-level tags. For every path the text
 length, the number of text nodes, and the punctuation are added up; the fused score of a path is its mean text length times its
 punctuation ratio, smoothed over the neighbouring blocks in page order so that short headings inside an article are lifted by
-the paragraphs around them. Paths above a threshold relative to the page are content. What a path says by itself (navigation,
-header, footer, sidebar, form, script, an ``ad``- or ``comment``-like class) excludes it, and where a page has an article
-element, the content nodes are those of the best-scoring article.
+the paragraphs around them, times the share of its text outside links. Blocks above a threshold relative to the page are
+content. What a path says by itself (navigation, header, footer, sidebar, form, script, an ``ad``- or ``comment``-like class)
+excludes it. An article element is a feature of the score: on a page that has one, blocks outside of all articles weigh less.
 
 Pages are independent rows, so there is no shuffle, and a partition is worked through batch by batch.
 
@@ -35,6 +35,10 @@ BREAKS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl",
 BOUNDARY = {"article", "aside", "body", "div", "footer", "form", "header", "main", "nav", "ol", "section", "table", "td", "th", "ul"}
 EXCLUDED = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "object"} | RAW
 NOISE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|breadcrumbs?|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|replies|footer|header|masthead|widget|pagination|login|signup|toc)(?:$|[\s_-])")
+#: What excludes an article element, whose other class names say nothing.
+COMMENT = re.compile(r"(?i)(?:^|\s)(?:comments?|reply|replies)(?:$|\s)")
+#: Weight of a block outside of all articles of a page.
+OUTSIDE = 0.05
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
@@ -126,6 +130,7 @@ def blocks_of(page: str) -> list[Block]:
         attributes = m[3]
         if not excluded:
             excluded = tag in EXCLUDED and not (tag == "header" and article) or bool(attributes) and (bool(HIDDEN.search(attributes)) or any(NOISE.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes)) and tag not in ("html", "body", "article", "main"))
+            excluded = excluded or tag == "article" and any(COMMENT.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
         if not attributes.rstrip().endswith("/") or tag in BOUNDARY:
             stack.append((tag, excluded, article))
     text(page[at:])
@@ -136,14 +141,18 @@ def blocks_of(page: str) -> list[Block]:
 
 def path_scores(blocks: list[Block], smooth: int = 1) -> list[float]:
     """The smoothed, fused score of each block's path."""
+    any_article = any(b.article for b in blocks)
     length, marks, links, nodes = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int)
     for b in blocks:
         length[b.path] += len(b.text)
         marks[b.path] += len(PUNCTUATION.findall(b.text))
         links[b.path] += min(b.linked, len(b.text))
         nodes[b.path] += 1
-    fused = [length[b.path] / nodes[b.path] * (1 + marks[b.path]) / nodes[b.path] ** 0.5 * (1 - links[b.path] / length[b.path]) for b in blocks]
-    return [sum(part := fused[max(0, i - smooth) : i + smooth + 1]) / len(part) for i in range(len(fused))]
+    own = [1 - links[b.path] / length[b.path] for b in blocks]
+    fused = [length[b.path] / nodes[b.path] * (1 + marks[b.path]) / nodes[b.path] ** 0.5 * o for b, o in zip(blocks, own, strict=True)]
+    weight = [1.0 if b.article or not any_article else OUTSIDE for b in blocks]
+    # links are not smoothed: a row of them beside paragraphs is no heading
+    return [w * o * sum(part := fused[max(0, i - smooth) : i + smooth + 1]) / len(part) for i, (o, w) in enumerate(zip(own, weight, strict=True))]
 
 
 def main_text(page: str | None, threshold: float = 0.1) -> str:
@@ -154,13 +163,6 @@ def main_text(page: str | None, threshold: float = 0.1) -> str:
     if not blocks:
         return ""
     scores = path_scores(blocks)
-    best: dict[int, float] = defaultdict(float)
-    for b, s in zip(blocks, scores, strict=True):
-        if b.article:
-            best[b.article] += s * len(b.text)
-    if best:
-        chosen = max(best, key=lambda a: (best[a], -a))
-        return "\n".join(b.text for b in blocks if b.article == chosen)
     least = threshold * sum(scores) / len(scores)
     return "\n".join(b.text for b, s in zip(blocks, scores, strict=True) if s >= least)
 

@@ -47,3 +47,20 @@ def test_table_has_articles_without_what_stands_around_them(spark, sf_dir):
         inner = re.search(r"(?s)<article>(.*?)</article>", pages[r["page_id"]])[1]
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|h2|li|div|ul|td|tr)[^>]*>|<br>", " ", inner))).split())
         assert " ".join(r["text"].split()) == want
+
+
+def test_scores_decide_inside_articles():
+    links = "<div class='x'><a href='/1'>Mail this</a> <a href='/2'>Print this</a></div>"
+    assert op.main_text(AROUND % f"<article>{ARTICLE}{links}</article>") == TEXT
+    low = "<ul>" + "<li>x</li>" * 9 + "</ul>"
+    long = "<p>" + "A sentence of some length, with a comma in it. " * 20 + "</p>"
+    assert op.main_text(f"<article>{long}{low}{long}</article>").count("x\n") == 2  # all but those beside the paragraphs
+
+
+def test_every_sibling_article_stays():
+    pages = AROUND % f"<article>{ARTICLE}</article><div><p>Teaser of some page.</p></div><article>{ARTICLE}</article><article class='comment'><p>I think so too, really. Good.</p></article>"
+    assert op.main_text(pages) == f"{TEXT}\n{TEXT}"
+
+
+def test_a_stub_article_does_not_hide_the_text_outside():
+    assert op.main_text(f"<article><p>Stub.</p></article><div id='main'>{ARTICLE * 3}</div>").endswith("\n".join([TEXT] * 3))
