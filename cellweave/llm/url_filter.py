@@ -1,6 +1,6 @@
 """URL filtering with built-in functions: rules by host and path, then a blocked Bloom filter before an exact hash join.
 
-The listed canonical URLs (``host`` or ``host/path`` without scheme, port and query) are hashed into 64-bit blocks, one row per
+The listed canonical URLs (``host`` or ``host/path`` without scheme, user info, port and query) are hashed into 64-bit blocks, one row per
 block. Every page probes with its canonical forms (host, its parent domains, host with path); an equi-join on the block with a
 bit test passes possible hits only, and an exact hash join against the list removes false positives. The block table has
 ``bits_per_entry * n / 64`` rows, so its size follows the list, not the pages, and it is broadcast only below a row limit.
@@ -19,7 +19,7 @@ from .common import ascii_lower, small
 #: (host, path, verdict); the longest rule that fits wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: Production block list of canonical URLs, held by the operator's query.
+#: Block list of canonical URLs, held by the operator's query: the three hosts that its SQL has, no list of realistic size.
 LISTED = ("spam-farm.example.org", "cheap-pills.example.com", "free-bets.example.com")
 
 BITS_PER_ENTRY, PROBES = 16, 4
@@ -56,8 +56,8 @@ def bloom_blocks(listed: DataFrame, blocks: int, entry: str = "entry") -> DataFr
 
 
 def canonical_forms(host: Column, path: Column) -> Column:
-    """The host, each parent domain, and the host with its path (no trailing slash), without a leading ``www.``."""
-    bare = F.regexp_replace(host, r"^www\.", "")
+    """The host, each parent domain, and the host with its path (no trailing slash), without user info, port and a leading ``www.``."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", ""), r"^www\.", "")
     parts = F.split(bare, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     return F.array_distinct(F.concat(parents, F.array(F.concat(bare, F.regexp_replace(path, r"/+$", "")))))

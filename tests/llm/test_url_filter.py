@@ -50,3 +50,13 @@ def test_the_filter_passes_every_entry_and_few_others(spark):
     probe = spark.range(2 * n).selectExpr("id", f"xxhash64(concat(if(id < {n}, 'host', 'other'), id, '.example.com')) AS __h").select("id", op._block(F.col("__h"), F.lit(blocks)).alias("b"), op._mask(F.col("__h")).alias("m")).collect()
     passed = [bits.get(r["b"], 0) & r["m"] == r["m"] for r in probe]
     assert all(passed[:n]) and sum(passed[n:]) < 0.1 * n
+
+
+def test_port_and_user_info_do_not_hide_a_listed_host(spark):
+    n = 20_000
+    entries = spark.range(n).selectExpr("concat('host', id, '.example.com') AS entry")
+    urls = ["http://host7.example.com:8080/", "http://u:p@host19999.example.com/x", "http://a@b@www.host5.example.com:/", "http://x.host6.example.com:80", "http://host20000.example.com:8080/", "http://host7.example.com:80x/", "http://host7.example.com@evil.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    rows = op.url_filter(pages, entries).orderBy("page_id").collect()
+    assert [r["verdict"] for r in rows] == ["block"] * 4 + ["allow"] * 3
+    assert rows[0]["host"] == "host7.example.com:8080"
