@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, small, stored, tokens
 
+#: Words that may stand among those of a window that is near.
+SLACK = 2
+
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -87,17 +90,28 @@ def _covered(spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 8, min_items: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(doc_id, text_hash, n_words, n_hit, n_items, items, contaminated) for every document row."""
+    """(doc_id, text_hash, n_words, n_hit, n_items, items, contaminated, n_near, near_items) for every document row.
+
+    near_items are the items of which a window of ``size`` different words stands, in any order, within ``size + SLACK - 1`` words of
+    its anchor; n_near is their number. Shorter windows and those that repeat a word are only looked for as phrases.
+    """
     windows = stored(test_windows(items, size, item_id, text), "windows")
     counts = stored(term_counts(docs, windows, text), "terms")
     anchors = stored(anchored(windows, counts), "anchors")
-    index = stored(postings(docs, anchors, size, doc_id, text), "postings")
-    hits = phrase_matches(index, anchors, anchors.count())
+    index = stored(postings(docs, anchors, size + SLACK, doc_id, text), "postings")
+    rows = anchors.count()
+    hits = phrase_matches(index, anchors, rows)
+    near = proximity_matches(index, anchors.where(F.size(F.array_distinct("words")) == size), rows).groupBy("doc_id", "text_hash").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("near_items"))
+    near = near.select(F.col("doc_id").alias("near_id"), F.col("text_hash").alias("near_hash"), "near_items")
     spans = hits.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     found = spans.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), _covered(F.col("spans")).alias("n_hit"), "items")
     every = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
     both = every.join(found, every["doc_id"].eqNullSafe(found["hit_id"]) & (every["text_hash"] == found["hit_hash"]), "left")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
-    return both.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), (F.size(listed) >= min_items).alias("contaminated"))
+    both = both.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("text_hash") == F.col("near_hash")), "left")
+    listed, close = (F.coalesce(c, F.array().cast("array<string>")) for c in ("items", "near_items"))
+    return both.select(
+        "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), (F.size(listed) >= min_items).alias("contaminated"),
+        F.size(close).cast("long").alias("n_near"), close.alias("near_items"),
+    )

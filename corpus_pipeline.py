@@ -51,8 +51,8 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of any test item go: eight words in a row, or a whole shorter item."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), min_items=1).where("contaminated").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    """Documents with a passage of any test item go: eight words in a row, a whole shorter item, or eight different words close together in any order."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), min_items=1).where("contaminated or n_near > 0").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
     found = stored(found, "leaks")
     same = F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__hash"))
     return docs.join(small(found, found.count()), same, "left_anti")

@@ -77,3 +77,20 @@ def test_query_digest(spark, sf_dir):
     row = op1_decontaminate(spark, sf_dir).where("n_items = 0").first()
     assert row["items_sha256"] == hashlib.sha256(b"").hexdigest() and not row["contaminated"]
     assert op1_decontaminate(spark, sf_dir).where(F.col("n_hit") >= 8).count() > 0
+
+
+def test_reordered_and_parted_windows_are_near(spark):
+    w = [f"w{k}" for k in range(8)]
+    docs = documents(spark, [(1, " ".join(w)), (2, " ".join(reversed(w))), (3, " ".join([*w[:4], "more", *w[4:]])), (4, " ".join(w[:7])), (5, " zz ".join(w[:4]) + " zz" * 9 + " " + " ".join(w[4:])), (6, None), (6, "other words")])
+    items = spark.createDataFrame([("a", " ".join(w)), ("b", " ".join(w))], "item_id string, text string")
+    rows = sorted((r["doc_id"], r["n_items"], r["n_near"], list(r["near_items"])) for r in op.decontaminate(docs, items).collect())
+    assert rows == [(1, 2, 2, ["a", "b"]), (2, 0, 2, ["a", "b"]), (3, 0, 2, ["a", "b"]), (4, 0, 0, []), (5, 0, 0, []), (6, 0, 0, []), (6, 0, 0, [])]
+
+
+def test_pipeline_drops_near_passages(spark, tmp_path):
+    import corpus_pipeline
+
+    w = [f"w{k}" for k in range(8)]
+    spark.createDataFrame([("a", " ".join(w))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(reversed(w))), (3, " ".join([*w[:4], "more", *w[4:]])), (4, " ".join(w[:7]))], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.leaks(spark, docs, str(tmp_path)).collect()] == [4]
