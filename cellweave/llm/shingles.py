@@ -32,7 +32,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(words) <= width:
+    if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
     ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     n = len(ids) - width + 1

@@ -73,3 +73,10 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert {k: got.get(k, k) for k in [*range(61), *range(1000, 1040)]} == {**{i: 0 for i in range(61)}, **{i: 1000 for i in range(1000, 1040)}}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_a_text_of_exactly_one_shingle_has_the_hash_of_that_shingle():
+    from cellweave.llm.shingles import shingle_set
+
+    assert shingle_set("a a a a", 4).tolist() == shingle_set("a a a a a", 4).tolist()
+    assert shingle_set("a b c d", 4)[0] in shingle_set("a b c d e", 4) and len(shingle_set("a b c", 4)) == 1
