@@ -22,6 +22,12 @@ class RunMeta:
     max_sequence: int = 0
     min_key: bytes | None = None
     max_key: bytes | None = None
+    path: str = ""
+
+
+def entry_sum(runs: Sequence[RunMeta]) -> int:
+    """Entries of all runs together: no merge of them has more keys, and a filter for its output is sized by it."""
+    return sum(f.entry_count for f in runs)
 
 
 @dataclass(frozen=True)
@@ -118,12 +124,12 @@ def can_drop_column(live: Column, inputs: Column) -> Column:
     return (n > 0) & (n <= F.size(live)) & (F.slice(F.sort_array(live), 1, F.greatest(n, F.lit(0))) == F.sort_array(inputs))
 
 
-def compact(runs: Sequence[DataFrame], drop_tombstones: bool, keys=ADDRESS) -> DataFrame:
-    """The merged run, sorted by key within its files."""
+def compact(runs: Sequence[DataFrame], drop_tombstones: bool, keys=ADDRESS, ordered: bool = True) -> DataFrame:
+    """The merged run; ``ordered``: dealt by ranges of the key and sorted, so that each of its files is a range of the key order."""
     merged = merge_runs(*runs, keys=keys)
     if drop_tombstones:
         merged = merged.where(~F.col("is_tombstone"))
-    return merged.sortWithinPartitions(*keys)
+    return merged.repartitionByRange(*keys).sortWithinPartitions(*keys) if ordered else merged
 
 
 def run_stats(runs: DataFrame, by: str, key: Column, value: Column) -> DataFrame:

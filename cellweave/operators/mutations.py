@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import BadConfig
+from ..sources.shared import stored
+
+NO_VALUE = "a put needs a value"
 
 
 def puts(rows: DataFrame) -> DataFrame:
@@ -20,29 +21,39 @@ def deletes(keys: DataFrame) -> DataFrame:
 
 
 def checked(mutations: DataFrame) -> DataFrame:
-    """Fails in the job that reads it if a put has no value or an empty one."""
+    """Fails in the job that reads it if a put has no value or an empty one; so no job of its own is spent on the question."""
     bad = ~F.col("is_tombstone") & (F.coalesce(F.octet_length("value"), F.lit(0)) == 0)
-    return mutations.withColumn("value", F.when(bad, F.raise_error(F.lit("a put needs a value")).cast("binary")).otherwise(F.col("value")))
+    return mutations.withColumn("value", F.when(bad, F.raise_error(F.lit(NO_VALUE)).cast("binary")).otherwise(F.col("value")))
+
 
+def placed(rows: DataFrame, order: Column, ties: list, name: str) -> DataFrame:
+    """Rows dealt by ranges of the order, sorted, with (range << 33) + place in the range as ``name``.
 
-def reject_empty(mutations: DataFrame) -> None:
-    if not mutations.where(~F.col("is_tombstone") & (F.coalesce(F.octet_length("value"), F.lit(0)) == 0)).isEmpty():
-        raise BadConfig("a put needs a value")
+    Equal orders are told apart by ``ties``, so no range takes all rows of one. The number of ranges is that of the shuffle
+    partitions, of which Spark joins small ones. One shuffle; write the result before the places are used.
+    """
+    by = [F.col("__o"), *ties]
+    ranged = rows.withColumn("__o", order).repartitionByRange(*by).sortWithinPartitions(*by)
+    return ranged.withColumn(name, F.monotonically_increasing_id()).drop("__o")
 
 
-def with_sequence(rows: DataFrame, order: Column, base: int = 1, parts: int = 64) -> DataFrame:
+def with_sequence(rows: DataFrame, order: Column, base: int = 1, ties: list | None = None) -> DataFrame:
     """Gap-free sequence numbers in the given order, without bringing all rows to one task.
 
-    Rows are dealt by ranges of the order, numbered within their range, and moved up by the sizes of the ranges before, of which
-    there are ``parts`` at most. The ranges are kept on disk, since sizes and rows must come from the same borders; a lost part
-    is dealt again by the borders that the kept plan has.
+    The placed rows are written to the shared folder, and the sizes of their ranges are counted there: borders and numbers come
+    from the same rows, whatever tasks are repeated. ``ties`` decide between equal orders: all other columns that can be
+    ordered, if not given; rows that are equal in those too are the same.
     """
-    ranged = rows.withColumn("__o", order).repartitionByRange(parts, "__o").withColumn("__p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    sizes = ranged.groupBy("__p").count()
-    before = sizes.withColumn("__b", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
-    within = F.row_number().over(Window.partitionBy("__p").orderBy("__o"))
-    numbered = ranged.withColumn("__n", within).join(F.broadcast(before), "__p")
-    return numbered.withColumn("sequence", (F.lit(base - 1) + F.col("__b") + F.col("__n")).cast("bigint")).drop("__o", "__p", "__b", "__n")
+    by = ties if ties is not None else [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]
+    kept = stored(placed(rows, order, by, "__at"), "placed")
+    part = F.shiftright("__at", 33)
+    sizes = kept.groupBy(part.alias("__p")).count().orderBy("__p").collect()  # one row a range, of which there are as many as shuffle partitions
+    before, n = {}, 0
+    for r in sizes:
+        before[r["__p"]], n = n, n + r["count"]
+    starts = F.from_json(F.lit("[" + ",".join(str(before.get(p, 0)) for p in range(max(before, default=0) + 1)) + "]"), "array<bigint>")
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.withColumn("sequence", (F.lit(base) + F.get(starts, part.cast("int")) + place).cast("bigint")).drop("__at")
 
 
 def next_sequence(run_max: int, log_max: int | None) -> int:

@@ -1,94 +1,134 @@
-"""A durable store of cells: sorted Parquet runs, a log, and a manifest of versions that are published by compare-and-swap.
+"""A durable store of cells: sorted Parquet runs, log segments, and a manifest of versions that are published by compare-and-swap.
 
-All files are reached through Hadoop's file systems, so a store may live wherever Spark reads. The manifest has one small JSON file
-a version; creating the next one exclusively is the swap, so of two writers one gets StaleVersion and leaves only an orphan
-that vacuum() removes. Readers pin a version by its number and are never disturbed.
+All files are reached through Hadoop's file systems, so a store may live wherever Spark reads. Each version is one small JSON file,
+and making the next one exclusively is the swap: of two writers one gets StaleVersion. Only what a version names exists. A run
+or segment is written under a name of its own first and named by a version afterwards, so a crash at any point leaves the store as
+it was, with an orphan that vacuum() removes.
+
+A segment holds places within its batch, not sequence numbers; the version that takes it in says where its numbers and clock
+begin. So a writer that loses the swap publishes the same files again on top of the newest version, and no two cells ever share a
+number. Versions are kept for a while and longer if somebody pins them, whatever object or process that is.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from dataclasses import asdict
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import BadConfig, StaleVersion
+from ..errors import BadConfig, BadFile, BadMagic, OutOfRange, StaleVersion, StoreError
 from ..functions.codec import encode_key
+from ..functions.hashing import crc32c
+from ..functions.hlc import Clock
+from ..log import logger
 from ..operators import mutations, resolve
-from ..operators.compaction import Candidate, FullCompaction, Policy, RunMeta, SizeTiered, can_drop_by_sequence, compact
+from ..operators.compaction import Candidate, FullCompaction, Policy, RunMeta, SizeTiered, can_drop_by_sequence, compact, entry_sum
 from ..schema import ADDRESS, CELL_LOG, RUN
+from .files import Files
+from .shared import literal_rows
+
+FORMAT = "cellweave-version-2"
+HOUR = 3_600_000
+#: How often a batch is published again after another writer was faster.
+TRIES = 50
+#: Rows of a segment: its cells with their place in the batch.
+PLACED = "partition_key binary, clustering_key binary, column_name binary, value binary, is_tombstone boolean, __at bigint"
+
+
+@dataclass(frozen=True)
+class Segment:
+    """A batch of the log. parts: (part, place of its first row); a row's number is first_sequence + place, its clock alike."""
+
+    name: str
+    rows: int
+    size_bytes: int
+    parts: tuple[tuple[int, int], ...]
+    first_sequence: int
+    first_clock: int
+
+
+@dataclass(frozen=True)
+class Version:
+    number: int = 0
+    runs: tuple[RunMeta, ...] = ()
+    segments: tuple[Segment, ...] = ()
+    next_lsn: int = 1
+    clock: int = 0
+    next_file: int = 1
+
+    def to_json(self, removed: list[int], added: list[int], made: int) -> str:
+        hexed = lambda b: b.hex() if b is not None else None
+        runs = [asdict(f) | {"min_key": hexed(f.min_key), "max_key": hexed(f.max_key)} for f in self.runs]
+        body = json.dumps({"number": self.number, "removed": removed, "added": added, "next_lsn": self.next_lsn, "clock": self.clock, "next_file": self.next_file, "made": made, "runs": runs, "segments": [asdict(s) for s in self.segments]})
+        return json.dumps({"format": FORMAT, "crc": crc32c(body.encode()), "body": body})
 
-
-class Files:
-    """The few file operations that the manifest needs, on any Hadoop file system."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark.sparkContext._jvm
-        self.root = self.jvm.org.apache.hadoop.fs.Path(root)
-        self.fs = self.root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(self.root, name)
-
-    def names(self, name: str) -> list[str]:
-        p = self.path(name)
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
-
-    def read(self, name: str) -> str:
-        stream = self.fs.open(self.path(name))
+    @classmethod
+    def from_json(cls, raw: bytes, name: str) -> tuple[Version, int]:
+        """(version, milliseconds at which it was made); BadMagic for another format, BadConfig for a damaged file."""
         try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def create(self, name: str, text: str) -> bool:
-        """False if the file is there already."""
-        draft = self.path(f"_drafts/{uuid.uuid4().hex}")
-        out = self.fs.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        target = self.path(name)
-        if self.fs.exists(target) or not self.fs.rename(draft, target):
-            self.fs.delete(draft, False)
-            return False
-        return True
-
-    def delete(self, name: str) -> None:
-        self.fs.delete(self.path(name), True)
+            outer = json.loads(raw.decode())
+            kind, crc, body = (outer[k] for k in ("format", "crc", "body"))
+        except (ValueError, KeyError, TypeError) as e:
+            raise BadMagic(f"{name} is no version file") from e
+        if kind != FORMAT:
+            raise BadMagic(f"{name} has the format {kind}")
+        if crc32c(body.encode()) != crc:
+            raise BadConfig(f"{name} is damaged")
+        at = json.loads(body)
+        raw_key = lambda x: bytes.fromhex(x) if x is not None else None
+        runs = tuple(RunMeta(**(r | {"min_key": raw_key(r["min_key"]), "max_key": raw_key(r["max_key"])})) for r in at["runs"])
+        segments = tuple(Segment(**(s | {"parts": tuple(map(tuple, s["parts"]))})) for s in at["segments"])
+        return cls(at["number"], runs, segments, at["next_lsn"], at["clock"], at["next_file"]), at["made"]
 
-    def make(self, name: str) -> None:
-        self.fs.mkdirs(self.path(name))
 
-    def size(self, name: str) -> int:
-        return int(self.fs.getContentSummary(self.path(name)).getLength())
+def _file(number: int) -> str:
+    return f"versions/v{number:020d}.json"
 
 
 class Snapshot:
-    """A pinned version: its runs stay readable until it is released."""
+    """A pinned version: its runs and segments stay readable, for every process, until it is released or the pin expires."""
 
-    def __init__(self, store: Store, version: int, runs: list[RunMeta]):
-        self.store, self.version, self.runs = store, version, runs
+    def __init__(self, store: Store, version: Version, pin: str):
+        self.store, self.at, self.pin, self.version = store, version, pin, version.number
 
     def files(self) -> list[RunMeta]:
-        return self.runs
+        return list(self.at.runs)
 
     def log(self) -> DataFrame:
-        return self.store._read([f.file_id for f in self.runs])
+        return self.store._all(self.at, self.at.runs).drop("hlc_ts")
 
     def live(self) -> DataFrame:
         return resolve.live(self.log())
 
+    def _near(self, key: tuple) -> DataFrame:
+        return self.store._all(self.at, _may_hold(self.at.runs, key)).drop("hlc_ts")
+
     def get(self, *key: bytes) -> DataFrame:
         """Runs whose key range can't hold the key are left out before the scan."""
-        return resolve.get(self.store._read(self.store._may_hold(self.runs, key)), *key)
+        return resolve.get(self._near(key), *key)
 
     def get_raw(self, *key: bytes) -> DataFrame:
-        return resolve.get_raw(self.store._read(self.store._may_hold(self.runs, key)), *key)
+        return resolve.get_raw(self._near(key), *key)
 
     def release(self) -> None:
-        self.store.pins.pop(id(self), None)
+        self.store.files.delete(self.pin)
+
+
+def _encoded(key: tuple) -> bytes:
+    return b"".join(bytes(b).replace(b"\x00", b"\x00\xff") + b"\x00\x01" for b in key)
+
+
+def _may_hold(runs: tuple[RunMeta, ...], key: tuple) -> list[RunMeta]:
+    """The runs whose key range reaches the key, or the prefix if the key has only its first parts."""
+    at = _encoded(key)
+    return [f for f in runs if f.min_key is None or f.min_key[: len(at)] <= at <= f.max_key]
 
 
 class Store:
@@ -98,76 +138,122 @@ class Store:
         self.spark, self.root, self.flush_bytes = spark, root.rstrip("/"), flush_bytes
         self.files = Files(spark, self.root)
         self.policy: Policy = policy or SizeTiered()
-        self.pins: dict[int, Snapshot] = {}
+        self.at = Version()
+        self._compacting = True
+        self.clock = Clock()
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, flush_bytes: int = 64 << 20, policy: Policy | None = None) -> Store:
-        """Opens or makes a store; what the log still has is flushed, with its sequence numbers."""
+    def open(cls, spark: SparkSession, root: str, flush_bytes: int = 64 << 20, policy: Policy | None = None, recover: bool = True) -> Store:
+        """Opens or makes a store. Every run of the newest version must be there in its size, or opening fails as a whole.
+
+        recover: what the log still has is flushed, with its sequence numbers, as after a crash. That is safe beside another
+        writer, whose next flush then finds less to do; its files stay until vacuum().
+        """
         if not root or not root.strip():
             raise BadConfig("a store needs a folder")
         store = cls(spark, root.strip(), flush_bytes, policy)
-        for name in ("versions", "runs", "log", "_drafts"):
+        for name in ("versions", "runs", "log", "pins", "_drafts"):
             store.files.make(name)
-        store.version, store.runs, store.next_lsn, store.log_from = store._load()
-        store._recover()
+        store.refresh()
+        for run in store.at.runs:
+            store.check(run.file_id, deep=False)
+        if recover:
+            store.flush()
         return store
 
-    # Manifest
+    # Versions
 
-    def _load(self) -> tuple[int, list[RunMeta], int, int]:
-        names = [n for n in self.files.names("versions") if n.startswith("v")]
-        if not names:
-            return 0, [], 1, 1
-        at = json.loads(self.files.read(f"versions/{names[-1]}"))
-        runs = [RunMeta(**(r | {k: bytes.fromhex(r[k]) if r[k] is not None else None for k in ("min_key", "max_key")})) for r in at["runs"]]
-        return at["version"], runs, at["next_lsn"], at["log_from"]
+    @property
+    def version(self) -> int:
+        return self.at.number
 
-    def _publish(self, removed: list[int], added: list[RunMeta], next_lsn: int, log_from: int) -> None:
+    @property
+    def runs(self) -> list[RunMeta]:
+        return list(self.at.runs)
+
+    def _numbers(self) -> list[int]:
+        return [int(n[1:-5]) for n in self.files.names("versions") if n.startswith("v") and n.endswith(".json")]
+
+    def _load(self, number: int) -> Version:
+        return Version.from_json(self.files.read(_file(number)), _file(number))[0]
+
+    def refresh(self) -> Version:
+        """Moves to the newest version; without a listing of all versions while the known one is the newest."""
+        if self.at.number and self.files.exists(_file(self.at.number)) and not self.files.exists(_file(self.at.number + 1)):
+            return self.at
+        numbers = self._numbers()
+        self.at = self._load(max(numbers)) if numbers else Version()
+        return self.at
+
+    def _publish(self, removed: list[int], added: list[RunMeta], **changes) -> Version:
         """The whole edit or nothing: it must follow the version that this store knows, and remove live runs only."""
         gone = set(removed)
-        if gone - {f.file_id for f in self.runs}:
+        if gone - {f.file_id for f in self.at.runs}:
             raise StaleVersion("the edit removes a run that is not live")
-        runs = [f for f in self.runs if f.file_id not in gone | {a.file_id for a in added}] + added
-        rows = [asdict(f) | {"min_key": f.min_key.hex() if f.min_key is not None else None, "max_key": f.max_key.hex() if f.max_key is not None else None} for f in runs]
-        text = json.dumps({"version": self.version + 1, "removed": sorted(gone), "added": [f.file_id for f in added], "next_lsn": next_lsn, "log_from": log_from, "runs": rows})
-        if not self.files.create(f"versions/v{self.version + 1:020d}.json", text):
-            raise StaleVersion(f"version {self.version + 1} was published by another writer")
-        self.version, self.runs, self.next_lsn, self.log_from = self.version + 1, sorted(runs, key=lambda f: f.file_id), next_lsn, log_from
-
-    def snapshot(self, version: int | None = None) -> Snapshot:
-        """Pins the current version, or an older one that is still in the manifest."""
-        runs = self.runs
-        if version is not None and version != self.version:
-            at = json.loads(self.files.read(f"versions/v{version:020d}.json"))
-            runs = [RunMeta(**(r | {k: bytes.fromhex(r[k]) if r[k] is not None else None for k in ("min_key", "max_key")})) for r in at["runs"]]
-        out = Snapshot(self, self.version if version is None else version, runs)
-        self.pins[id(out)] = out
-        return out
+        runs = [f for f in self.at.runs if f.file_id not in gone | {a.file_id for a in added}] + added
+        state = {"number": self.at.number + 1, "runs": tuple(sorted(runs, key=lambda f: f.file_id)), "next_file": max([self.at.next_file, *(f.file_id + 1 for f in added)])}
+        new = Version(**(self.at.__dict__ | changes | state))
+        if not self.files.create(_file(new.number), new.to_json(sorted(gone), [f.file_id for f in added], time.time_ns() // 1_000_000)):
+            raise StaleVersion(f"version {new.number} was published by another writer")
+        self.at = new
+        logger("sstable").info("version %d: %d runs, %d segments", new.number, len(new.runs), len(new.segments))
+        return new
+
+    def _retried(self, edit: Callable[[], object]):
+        """The edit on the newest version, again on the next one whenever another writer was faster."""
+        for k in range(TRIES):
+            try:
+                return edit()
+            except StaleVersion:
+                if k == TRIES - 1:
+                    raise
+                logger("general").warning("version %d was published by another writer; trying again", self.at.number + 1)
+                self.refresh()
+
+    def snapshot(self, version: int | None = None, keep_ms: int = 24 * HOUR) -> Snapshot:
+        """Pins the newest version, or an older one that is still kept; the pin lasts keep_ms unless it is released.
+
+        The pin is written before the version is looked at again, and vacuum() looks at the pins again after it has taken versions
+        away: so a version that was pinned in between is either kept or refused here with StaleVersion.
+        """
+        number = self.refresh().number if version is None else version
+        pin = f"pins/{number:020d}-{uuid.uuid4().hex}"
+        self.files.create(pin, str(time.time_ns() // 1_000_000 + keep_ms))
+        if number and not self.files.exists(_file(number)):
+            self.files.delete(pin)
+            raise StaleVersion(f"version {number} is not kept any more")
+        return Snapshot(self, self._load(number) if number else Version(), pin)
 
     # Data
 
-    def _read(self, ids: list[int]) -> DataFrame:
-        if not ids:
-            return self.spark.createDataFrame([], RUN)
-        return self.spark.read.schema(RUN).parquet(*(f"{self.root}/runs/{i:08d}" for i in ids))
-
-    def _may_hold(self, runs: list[RunMeta], key: tuple) -> list[int]:
-        esc = lambda b: bytes(b).replace(b"\x00", b"\x00\xff") + b"\x00\x01"
-        at = b"".join(map(esc, key))
-        return [f.file_id for f in runs if f.min_key is None or f.min_key <= at <= f.max_key]
-
-    def _segments(self) -> list[int]:
-        return [int(n) for n in self.files.names("log") if n.isdigit() and int(n) >= self.log_from]
+    def _runs(self, runs) -> DataFrame:
+        empty = self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in RUN))
+        return self.spark.read.schema(RUN).parquet(*(f"{self.root}/{f.path}" for f in runs)) if runs else empty
 
-    def _unflushed(self) -> DataFrame:
-        found = self._segments()
-        if not found:
-            return self.spark.createDataFrame([], CELL_LOG)
-        return self.spark.read.schema(CELL_LOG).parquet(*(f"{self.root}/log/{s:08d}" for s in found))
+    def _segments(self, segments) -> DataFrame:
+        """The rows of segments with their numbers: one read, and a table of (segment, part) joined to it."""
+        if not segments:
+            return self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in CELL_LOG))
+        firsts = [{"segment": s.name, "part": p, "seq": s.first_sequence + at, "clk": s.first_clock + at} for s in segments for p, at in s.parts]
+        starts = literal_rows(self.spark, firsts, "segment string, part bigint, seq bigint, clk bigint")
+        rows = self.spark.read.schema(PLACED).parquet(*(f"{self.root}/log/{s.name}" for s in segments))
+        rows = rows.withColumn("segment", F.regexp_extract(F.col("_metadata.file_path"), r"/log/([^/]+)/", 1)).withColumn("part", F.shiftright("__at", 33))
+        starts = F.broadcast(starts) if len(firsts) <= 200_000 else starts
+        row = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+        return rows.join(starts, ["segment", "part"]).select(*ADDRESS, "value", "is_tombstone", (F.col("seq") + row).alias("sequence"), (F.col("clk") + row).alias("hlc_ts"))
+
+    def _all(self, at: Version, runs) -> DataFrame:
+        old = self._runs(runs).withColumn("hlc_ts", F.lit(None).cast("bigint"))
+        return old.unionByName(self._segments(at.segments)) if at.segments else old
 
     def log(self) -> DataFrame:
         """All stored versions: runs and log."""
-        return self._read([f.file_id for f in self.runs]).unionByName(self._unflushed().drop("hlc_ts"))
+        at = self.refresh()
+        return self._all(at, at.runs).drop("hlc_ts")
+
+    def unflushed(self) -> DataFrame:
+        """The mutations of the log alone, each with its sequence and clock."""
+        return self._segments(self.refresh().segments)
 
     def latest(self) -> DataFrame:
         return resolve.latest(self.log())
@@ -175,82 +261,149 @@ class Store:
     def live(self) -> DataFrame:
         return resolve.live(self.log())
 
+    def _near(self, key: tuple) -> DataFrame:
+        at = self.refresh()
+        return self._all(at, _may_hold(at.runs, key)).drop("hlc_ts")
+
     def get(self, *key: bytes) -> bytes | None:
-        row = resolve.get(self._read(self._may_hold(self.runs, key)).unionByName(self._unflushed().drop("hlc_ts")), *key).first()
+        row = resolve.get(self._near(key), *key).first()
         return None if row is None else bytes(row["value"])
 
     def get_internal(self, *key: bytes):
         """The newest version with its sequence, which may be a tombstone; None if there is none."""
-        return resolve.get_raw(self.log(), *key).first()
+        return resolve.get_raw(self._near(key), *key).first()
 
     def scan(self, partition: bytes) -> DataFrame:
-        return resolve.partition_scan(self.log(), partition)
+        """The live cells of a partition in key order; runs that don't reach its keys are not read."""
+        return resolve.partition_scan(self._near((partition,)), partition)
+
+    def run_scan(self, file_id: int) -> DataFrame:
+        """Every cell of one run in key order, tombstones included. The files of a run are ranges of the key order already."""
+        return self._runs([self._run(file_id)]).orderBy(*ADDRESS)
+
+    def _run(self, file_id: int) -> RunMeta:
+        found = [f for f in self.at.runs if f.file_id == file_id]
+        if not found:
+            raise BadConfig(f"run {file_id} is not live")
+        return found[0]
 
     def latest_lsn(self) -> int:
         """The number that the next mutation gets."""
-        return self.next_lsn
+        return self.refresh().next_lsn
+
+    def check(self, file_id: int, deep: bool = True) -> RunMeta:
+        """Whether a run is what its version says: BadFile if it is missing, BadConfig in another size; with ``deep``, BadMagic for
+        a file that is not Parquet and OutOfRange if the files don't hold the run's number of entries."""
+        run = self._run(file_id)
+        if not self.files.exists(run.path):
+            raise BadFile(f"run {file_id} is missing")
+        if (size := self.files.size(run.path)) != run.size_bytes:
+            raise BadConfig(f"run {file_id} has {size} bytes instead of {run.size_bytes}")
+        if deep:
+            for name, size, _ in self.files.listing(run.path):
+                if name.endswith(".parquet") and (size < 12 or self.files.read_at(f"{run.path}/{name}", size - 4, 4) != b"PAR1"):
+                    raise BadMagic(f"{run.path}/{name} is no Parquet file")
+            if (n := self._runs([run]).count()) != run.entry_count:
+                raise OutOfRange(f"run {file_id} has {n} entries instead of {run.entry_count}")
+        return run
 
     # Mutations
 
     def put(self, partition: bytes, clustering: bytes, column: bytes, value: bytes) -> None:
-        self.write(mutations.puts(self.spark.createDataFrame([(partition, clustering, column, value)], "partition_key binary, clustering_key binary, column_name binary, value binary")), F.lit(0))
+        if not value:
+            raise BadConfig("a put needs a value")
+        self.write(self._one(partition, clustering, column, value, False), F.lit(0))
 
     def remove(self, partition: bytes, clustering: bytes, column: bytes) -> None:
-        self.write(mutations.deletes(self.spark.createDataFrame([(partition, clustering, column)], "partition_key binary, clustering_key binary, column_name binary")), F.lit(0))
+        self.write(self._one(partition, clustering, column, None, True), F.lit(0))
+
+    def _one(self, partition: bytes, clustering: bytes, column: bytes, value: bytes | None, dead: bool) -> DataFrame:
+        cells = [F.lit(bytearray(x)).alias(c) for c, x in zip(ADDRESS, (partition, clustering, column), strict=True)]
+        return self.spark.range(1).select(*cells, (F.lit(None) if value is None else F.lit(bytearray(value))).cast("binary").alias("value"), F.lit(dead).alias("is_tombstone"))
 
     def write(self, batch: DataFrame, order) -> int:
         """Appends a batch of mutations to the log in the given order; returns its number of mutations.
 
         batch: partition_key, clustering_key, column_name, value, is_tombstone, and what ``order`` needs. The batch is one
-        folder, written by Spark's commit protocol, and durable as a whole.
+        segment: all of it is there once a version names it, and nothing before. Mutations that are equal in ``order`` go by their
+        address, then tombstones first, then by value.
         """
-        mutations.reject_empty(batch)
-        segment = max([self.log_from - 1, *self._segments()]) + 1
-        rows = mutations.with_sequence(batch, order, self.next_lsn).withColumn("hlc_ts", F.shiftleft(F.unix_millis(F.current_timestamp()), 16) + F.col("sequence") - self.next_lsn)
-        path = f"{self.root}/log/{segment:08d}"
-        rows.select(*CELL_LOG.names).write.parquet(path)
-        n, size = self.spark.read.schema(CELL_LOG).parquet(path).agg(F.count("*"), F.sum(sum(F.octet_length(c) for c in ADDRESS) + F.coalesce(F.octet_length("value"), F.lit(0)))).first()
-        self.next_lsn += n
-        if (size or 0) >= self.flush_bytes or self._buffered() >= self.flush_bytes:
+        name = uuid.uuid4().hex
+        rows = mutations.placed(mutations.checked(batch), order, [*ADDRESS, F.col("is_tombstone").desc(), "value"], "__at")
+        try:
+            rows.select(*ADDRESS, "value", "is_tombstone", "__at").write.parquet(f"{self.root}/log/{name}")
+        except (PySparkException, Py4JJavaError) as e:
+            self.files.delete(f"log/{name}")
+            if mutations.NO_VALUE in str(e):
+                raise BadConfig(mutations.NO_VALUE) from e
+            raise
+        size = sum(F.octet_length(c) for c in ADDRESS) + F.coalesce(F.octet_length("value"), F.lit(0))
+        sums = self.spark.read.schema(PLACED).parquet(f"{self.root}/log/{name}").groupBy(F.shiftright("__at", 33).alias("p")).agg(F.count("*").alias("n"), F.sum(size).alias("b")).orderBy("p").collect()
+        n, parts = 0, []
+        for r in sums:  # one row a task of the batch
+            parts.append((r["p"], n))
+            n += r["n"]
+        if not n:
+            self.files.delete(f"log/{name}")
+            return 0
+        made = Segment(name, n, sum(r["b"] for r in sums), tuple(parts), 0, 0)
+        self._retried(lambda: self._append(made))
+        logger("wal").info("segment %s: %d mutations, %d bytes", name, n, made.size_bytes)
+        if sum(s.size_bytes for s in self.at.segments) >= self.flush_bytes and self._buffered() >= self.flush_bytes:
             self.flush()
         return n
 
+    def _append(self, made: Segment) -> None:
+        self.clock.last = max(self.clock.last, self.at.clock)
+        first = self.clock.next()
+        segment = Segment(made.name, made.rows, made.size_bytes, made.parts, self.at.next_lsn, first)
+        self._publish([], [], segments=(*self.at.segments, segment), next_lsn=self.at.next_lsn + made.rows, clock=first + made.rows - 1)
+        self.clock.last = self.at.clock
+
     def _buffered(self) -> int:
-        """Bytes of the log's newest versions, each key once."""
+        """Bytes of the log's newest versions, each key once; asked for only when all versions together reach the limit."""
         key = encode_key(*(F.col(c) for c in ADDRESS))
-        row = resolve.live_bytes(self._unflushed(), [], key, F.col("value")).first()
+        row = resolve.live_bytes(self._segments(self.at.segments), [], key, F.col("value")).first()
         return int(row[0] or 0) if row else 0
 
     def _write_run(self, rows: DataFrame) -> RunMeta:
-        new = max([0, *(int(n) for n in self.files.names("runs") if n.isdigit())]) + 1
-        path = f"{self.root}/runs/{new:08d}"
-        rows.select(*RUN.names).write.parquet(path)
+        """Rows dealt out by key ranges and sorted, with Bloom filters on the parts of the key; named by nothing yet."""
+        new = self.at.next_file
+        path = f"runs/{new:08d}-{uuid.uuid4().hex}"
+        writer = rows.select(*RUN.names).repartitionByRange(*ADDRESS).sortWithinPartitions(*ADDRESS).write
+        for c in ADDRESS:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(f"{self.root}/{path}")
         key = encode_key(*(F.col(c) for c in ADDRESS))
-        n, low, high, first, last = self.spark.read.schema(RUN).parquet(path).agg(F.count("*"), F.min("sequence"), F.max("sequence"), F.min(key), F.max(key)).first()
+        n, low, high, first, last = self.spark.read.schema(RUN).parquet(f"{self.root}/{path}").agg(F.count("*"), F.min("sequence"), F.max("sequence"), F.min(key), F.max(key)).first()
         as_bytes = lambda b: None if b is None else bytes(b)
-        return RunMeta(new, self.files.size(f"runs/{new:08d}"), n, low or 0, high or 0, as_bytes(first), as_bytes(last))
+        return RunMeta(new, self.files.size(path), n, low or 0, high or 0, as_bytes(first), as_bytes(last), path)
 
     def flush(self) -> bool:
-        """The log's newest versions become a run; False if there is nothing to flush."""
-        segments = self._segments()
-        if not segments:
-            return False
-        run = self._write_run(resolve.latest(self._unflushed()).sortWithinPartitions(*ADDRESS))
-        self._publish([], [run], self.next_lsn, max(segments) + 1)
-        for s in segments:
-            self.files.delete(f"log/{s:08d}")
-        self.compact()
-        return True
-
-    def _recover(self) -> None:
-        segments = self._segments()
-        high = max([0, *(f.max_sequence for f in self.runs)])
-        if not segments:
-            self.next_lsn = max(self.next_lsn, high + 1)
-            return
-        top = self._unflushed().agg(F.max("sequence")).first()[0] or 0
-        self.next_lsn = max(high, top) + 1
-        self.flush()
+        """The log's newest versions become a run; False if there is nothing to flush. If another writer flushed the same segments
+        meanwhile, what it left is tried again."""
+        for _ in range(TRIES):
+            segments = self.refresh().segments
+            if not segments:
+                return False
+            began = self.at
+            run = self._write_run(resolve.latest(self._segments(segments).drop("hlc_ts")))
+            try:
+                self._publish([], [run], segments=())
+            except StaleVersion:
+                self.refresh()
+                if set(segments) <= set(self.at.segments) and self.at.next_file == began.next_file:
+                    try:  # others only appended to the log: the run is still right
+                        self._publish([], [run], segments=tuple(s for s in self.at.segments if s not in segments))
+                    except StaleVersion:
+                        continue
+                else:
+                    continue
+            logger("memtable").info("flushed %d segments to run %d: %d entries", len(segments), run.file_id, run.entry_count)
+            if self._compacting:
+                self.compact()
+            return True
+        raise StaleVersion("other writers were always faster")
 
     # Compaction
 
@@ -260,35 +413,77 @@ class Store:
         self.policy = policy
 
     def compact(self, policy: Policy | None = None) -> RunMeta | None:
-        """Merges what the policy picks; None if it picks nothing or another writer was faster."""
+        """Merges what the policy picks of the version that this store knows; None if it picks nothing or another writer was faster.
+        After that, this store knows the newest version."""
         picked = (policy or self.policy).pick(self.runs)
         return self._compact(picked) if picked else None
 
     def compact_now(self) -> RunMeta | None:
+        self.refresh()
         return self.compact(FullCompaction())
 
     def _compact(self, picked: Candidate) -> RunMeta | None:
         inputs = list(picked.inputs)
+        chosen = [f for f in self.at.runs if f.file_id in inputs]
         drop = can_drop_by_sequence(self.runs, inputs)  # what the log has is newer than any run
-        run = self._write_run(compact([self._read(inputs)], drop))
+        run = self._write_run(compact([self._runs(chosen)], drop, ordered=False))
         try:
-            self._publish(inputs, [run], self.next_lsn, self.log_from)
+            self._publish(inputs, [run])
         except StaleVersion:
-            self.version, self.runs, self.next_lsn, self.log_from = self._load()
+            logger("compaction").warning("the merge of %s came too late", inputs)
+            self.refresh()
             return None
+        logger("compaction").info("merged %s with %d entries at most into run %d with %d%s", inputs, entry_sum(chosen), run.file_id, run.entry_count, ", tombstones dropped" if drop else "")
         return run
 
-    def vacuum(self) -> list[int]:
-        """Deletes runs that neither the current version nor a pinned one has; returns their ids."""
-        needed = {f.file_id for f in self.runs} | {f.file_id for s in self.pins.values() for f in s.runs}
-        gone = [int(n) for n in self.files.names("runs") if n.isdigit() and int(n) not in needed]
-        for i in gone:
-            self.files.delete(f"runs/{i:08d}")
-        return gone
-
-    def crash(self) -> None:
-        """Forgets what is in memory, for tests of recovery."""
-        self.pins.clear()
+    def vacuum(self, retain_ms: int = HOUR, grace_ms: int = HOUR) -> list[str]:
+        """Deletes versions that are neither the newest, nor pinned, nor younger than retain_ms, then what only they name; returns
+        the names of the runs and segments that went.
+
+        What no version ever named may be the work of a writer that has not published yet; it goes when it is older than grace_ms.
+        """
+        now = time.time_ns() // 1_000_000
+        numbers = sorted(self._numbers())
+        if not numbers:
+            return []
+        known = {n: Version.from_json(self.files.read(_file(n)), _file(n)) for n in numbers}
+        # a version is of use until its successor is retain_ms old
+        ended = {n: known[m][1] for n, m in zip(numbers, numbers[1:], strict=False)}
+        gone = [n for n in numbers[:-1] if ended[n] + retain_ms <= now and n not in self._pinned(now)]
+        texts = {n: self.files.read(_file(n)) for n in gone}
+        for n in gone:
+            self.files.delete(_file(n))
+        for n in set(gone) & self._pinned(now):  # pinned since the first look
+            self.files.create(_file(n), texts[n].decode())
+            gone.remove(n)
+        newest = max(self._numbers())
+        kept = [known[n][0] if n in known else self._load(n) for n in self._numbers() if n <= newest]
+        needed = {f.path for v in kept for f in v.runs} | {f"log/{s.name}" for v in kept for s in v.segments}
+        once = {f.path for v, _ in known.values() for f in v.runs} | {f"log/{s.name}" for v, _ in known.values() for s in v.segments}
+        out = []
+        for folder in ("runs", "log"):
+            for name, _, changed in self.files.listing(folder):
+                path = f"{folder}/{name}"
+                if path not in needed and (path in once or changed + grace_ms <= now):
+                    self.files.delete(path)
+                    out.append(path)
+        if out:
+            logger("io").info("vacuum removed %d runs and segments and %d versions", len(out), len(gone))
+        return out
+
+    def _pinned(self, now: int) -> set[int]:
+        """The pinned versions; pins that have expired are removed."""
+        out = set()
+        for name in self.files.names("pins"):
+            try:
+                until = int(self.files.read(f"pins/{name}"))
+            except StoreError:  # released meanwhile
+                continue
+            if until <= now:
+                self.files.delete(f"pins/{name}")
+            else:
+                out.add(int(name.split("-")[0]))
+        return out
 
 
 ENGINES: dict[str, type[Store]] = {"cells": Store}
