@@ -12,36 +12,43 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\r\u000c\u000b"
 
 
-def _pairs(b: Column) -> Column:
-    """Hex digits in pairs with a blank after each: the blanks keep replacements on byte borders."""
-    return F.regexp_replace(F.hex(b), "(..)", "$1 ")
+#: Bytes as characters, one to one, so that text functions work on bytes.
+_BYTES = "ISO-8859-1"
+_ZERO, _ESCAPED, _END = "\x00", "\x00\xff", "\x00\x01"
 
 
 def _field(b: Column) -> Column:
-    return F.concat(F.replace(_pairs(b), F.lit("00 "), F.lit("00 FF ")), F.lit("00 01 "))
+    return F.concat(F.replace(F.decode(b, _BYTES), F.lit(_ZERO), F.lit(_ESCAPED)), F.lit(_END))
 
 
 def encode_key(partition: Column, clustering: Column, column: Column) -> Column:
-    """One binary key whose unsigned byte order is the order of the three parts."""
-    return F.unhex(F.replace(F.concat(_field(partition), _field(clustering), _field(column)), F.lit(" "), F.lit("")))
+    """One binary key whose unsigned byte order is the order of the three parts: zero bytes are escaped, fields end with 00 01."""
+    return F.encode(F.concat(_field(partition), _field(clustering), _field(column)), _BYTES)
 
 
 def _parts(key: Column) -> Column:
-    return F.split(_pairs(key), "00 01 ")
+    return F.split(F.decode(key, _BYTES), _END)
+
+
+def _valid(parts: Column) -> Column:
+    clean = lambda p: ~F.replace(p, F.lit(_ESCAPED), F.lit("")).contains(_ZERO)
+    return (F.size(parts) >= 4) & clean(F.get(parts, 0)) & clean(F.get(parts, 1)) & clean(F.get(parts, 2))
+
+
+def _once(parts: Column, use) -> Column:
+    """``use`` of the parts, which are bound to a variable: they are made once, however often they are used."""
+    return F.get(F.transform(F.array(parts), use), 0)
 
 
 def key_is_valid(key: Column) -> Column:
     """False for truncated keys, keys with fewer than three fields, and zero bytes that are followed by anything but FF or 01."""
-    parts = _parts(key)
-    clean = F.forall(F.slice(parts, 1, 3), lambda p: ~F.replace(p, F.lit("00 FF "), F.lit("")).contains("00 "))
-    return F.coalesce((F.size(parts) >= 4) & clean, F.lit(False))
+    return F.coalesce(_once(_parts(key), _valid), F.lit(False))
 
 
 def decode_key(key: Column) -> Column:
     """Struct of the three parts, null for a malformed key; bytes after the third field are ignored."""
-    parts = _parts(key)
-    one = lambda i: F.unhex(F.replace(F.replace(parts[i], F.lit("00 FF "), F.lit("00 ")), F.lit(" "), F.lit("")))
-    return F.when(key_is_valid(key), F.struct(one(0).alias("partition_key"), one(1).alias("clustering_key"), one(2).alias("column_name")))
+    one = lambda p, i: F.encode(F.replace(F.get(p, i), F.lit(_ESCAPED), F.lit(_ZERO)), _BYTES)
+    return _once(_parts(key), lambda p: F.when(_valid(p), F.struct(one(p, 0).alias("partition_key"), one(p, 1).alias("clustering_key"), one(p, 2).alias("column_name"))))
 
 
 def encode_uint(value: Column, size: int) -> Column:

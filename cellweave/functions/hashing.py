@@ -1,6 +1,6 @@
 """CRC-32C, a seeded 32-bit hash, and the Bloom filter over it. Spark has none of these, so they run in Arrow batches.
 
-They are needed for exact formats and false-positive figures only; queries use Spark's own hashes and Parquet's Bloom filters.
+They are needed for exact formats and false-positive figures only; the store's runs have Parquet's own Bloom filters.
 """
 
 from __future__ import annotations
@@ -76,9 +76,45 @@ def hash32(data: bytes, seed: int) -> int:
     return h
 
 
+def hash32_batch(values: list[bytes], seed: int) -> np.ndarray:
+    """hash32() of many values; those of one length are worked on word by word, all at once."""
+    out = np.zeros(len(values), np.uint32)
+    sizes = np.array([len(v) for v in values], np.int64)
+    factor = np.uint32(0xC6A4A793)
+    for n in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == n)
+        data = np.frombuffer(b"".join(values[i] for i in rows.tolist()), np.uint8).reshape(len(rows), n)
+        h = np.full(len(rows), seed ^ (n * 0xC6A4A793 & _WORD), np.uint32)
+        whole = n & ~3
+        words = np.ascontiguousarray(data[:, :whole]).view(">u4").astype(np.uint32)
+        for k in range(whole // 4):
+            h = (h + words[:, k]) * factor
+            h ^= h >> np.uint32(16)
+        if n > whole:
+            rest = np.zeros(len(rows), np.uint32)
+            for k in range(n - whole):
+                rest |= data[:, whole + k].astype(np.uint32) << np.uint32(8 * k)
+            h = (h + rest) * factor
+            h ^= h >> np.uint32(24)
+        out[rows] = h
+    return out
+
+
+def _some(data: pd.Series) -> tuple[np.ndarray, list[bytes]]:
+    """Where values are, and the values."""
+    at = np.flatnonzero(data.notna().to_numpy())
+    return at, [bytes(data.iloc[i]) for i in at.tolist()]
+
+
 @F.pandas_udf(T.LongType())
 def hash32_column(data: pd.Series, seed: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else hash32(b, int(s)) for b, s in zip(data, seed, strict=True)], dtype="Int64")
+    at, values = _some(data)
+    out = pd.Series([None] * len(data), dtype="Int64")
+    seeds = seed.to_numpy()[at]
+    for s in np.unique(seeds).tolist():
+        own = np.flatnonzero(seeds == s)
+        out.iloc[at[own]] = hash32_batch([values[i] for i in own.tolist()], int(s)).astype(np.int64)
+    return out
 
 
 class BloomFilter:
@@ -91,37 +127,47 @@ class BloomFilter:
         self.hashes = max(1, min(30, int(self.bits / keys * math.log(2))))
         self.data = np.zeros(self.bits // 8, np.uint8)
 
-    def _places(self, key: bytes) -> np.ndarray:
-        first, second = (hash32(key, s) for s in SEEDS)
-        return (first + np.arange(self.hashes, dtype=np.uint64) * np.uint64(second | 1)) % np.uint64(self.bits)
+    def places(self, keys: list[bytes]) -> np.ndarray:
+        """The bits of every key, one row a key."""
+        first, second = (hash32_batch(keys, s).astype(np.uint64) for s in SEEDS)
+        return ((first[:, None] + np.arange(self.hashes, dtype=np.uint64) * (second | np.uint64(1))[:, None]) % np.uint64(self.bits)).astype(np.int64)
 
-    def add(self, key: bytes) -> None:
-        at = self._places(key).astype(np.int64)
+    def add_all(self, keys: list[bytes]) -> None:
+        at = self.places(keys).ravel()
         np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
+    def add(self, key: bytes) -> None:
+        self.add_all([key])
+
     def may_contain(self, key: bytes) -> bool:
-        at = self._places(key).astype(np.int64)
+        at = self.places([key])[0]
         return bool((self.data[at >> 3] >> (at & 7) & 1).all())
 
     @classmethod
     def of(cls, keys: list[bytes], rate: float = 0.01) -> BloomFilter:
         out = cls(len(keys), rate)
-        for k in keys:
-            out.add(k)
+        out.add_all(keys)
+        return out
+
+
+def _places_of(shape: BloomFilter):
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def places(data: pd.Series) -> pd.Series:
+        at, values = _some(data)
+        out = pd.Series([None] * len(data), dtype=object)
+        for i, row in zip(at.tolist(), shape.places(values) if values else (), strict=True):
+            out.iloc[i] = row
         return out
 
+    return places
+
 
 def bloom_words(keys, key: str, n: int, rate: float = 0.01):
     """(word, bits): the set 64-bit words of the exact filter of a column of keys; partial bit_or before the shuffle.
 
     n: the number of keys that the filter is sized for.
     """
-    shape = BloomFilter(n, rate)
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def places(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: shape._places(b).astype(np.int64).tolist())
-
+    places = _places_of(BloomFilter(n, rate))
     each = keys.where(F.col(key).isNotNull()).select(F.explode(places(key)).alias("at"))
     bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
     return each.select(F.shiftright("at", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
@@ -129,12 +175,7 @@ def bloom_words(keys, key: str, n: int, rate: float = 0.01):
 
 def bloom_probe(keys, key: str, words, n: int, rate: float = 0.01):
     """The rows of ``keys`` with ``may_contain``; probes and filter words meet in an equi-join on the word."""
-    shape = BloomFilter(n, rate)
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def places(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: None if b is None else shape._places(b).astype(np.int64).tolist())
-
+    places = _places_of(BloomFilter(n, rate))
     probes = keys.select(key).distinct().select(key, F.explode(places(key)).alias("at"))
     probes = probes.select(key, F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
     found = probes.join(words, "word", "left").groupBy(key).agg(F.min(F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))).alias("may_contain"))

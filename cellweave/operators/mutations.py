@@ -26,18 +26,18 @@ def checked(mutations: DataFrame) -> DataFrame:
     return mutations.withColumn("value", F.when(bad, F.raise_error(F.lit(NO_VALUE)).cast("binary")).otherwise(F.col("value")))
 
 
-def placed(rows: DataFrame, order: Column, ties: list, name: str) -> DataFrame:
+def placed(rows: DataFrame, order: Column, ties: list, name: str, parts: int | None = None) -> DataFrame:
     """Rows dealt by ranges of the order, sorted, with (range << 33) + place in the range as ``name``.
 
-    Equal orders are told apart by ``ties``, so no range takes all rows of one. The number of ranges is that of the shuffle
-    partitions, of which Spark joins small ones. One shuffle; write the result before the places are used.
+    Equal orders are told apart by ``ties``, so no range takes all rows of one. The number of ranges is ``parts``, or else that of
+    the shuffle partitions, of which Spark joins small ones. One shuffle; write the result before the places are used.
     """
     by = [F.col("__o"), *ties]
-    ranged = rows.withColumn("__o", order).repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = rows.withColumn("__o", order).repartitionByRange(*([parts] if parts else []), *by).sortWithinPartitions(*by)
     return ranged.withColumn(name, F.monotonically_increasing_id()).drop("__o")
 
 
-def with_sequence(rows: DataFrame, order: Column, base: int = 1, ties: list | None = None) -> DataFrame:
+def with_sequence(rows: DataFrame, order: Column, base: int = 1, parts: int | None = None, ties: list | None = None) -> DataFrame:
     """Gap-free sequence numbers in the given order, without bringing all rows to one task.
 
     The placed rows are written to the shared folder, and the sizes of their ranges are counted there: borders and numbers come
@@ -45,7 +45,7 @@ def with_sequence(rows: DataFrame, order: Column, base: int = 1, ties: list | No
     ordered, if not given; rows that are equal in those too are the same.
     """
     by = ties if ties is not None else [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"]
-    kept = stored(placed(rows, order, by, "__at"), "placed")
+    kept = stored(placed(rows, order, by, "__at", parts), "placed")
     part = F.shiftright("__at", 33)
     sizes = kept.groupBy(part.alias("__p")).count().orderBy("__p").collect()  # one row a range, of which there are as many as shuffle partitions
     before, n = {}, 0

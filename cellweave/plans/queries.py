@@ -6,13 +6,14 @@ The log of cells is the ``events`` table: partition key ``user_id``, clustering
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, hashing, hlc
 from ..operators import compaction, mutations, replay, resolve, versions
+from ..schema import ADDRESS
+from ..sources import dump, wal
+from ..sources.shared import literal_rows, shared_dir
 from ..sources.store import Store
 from ..streaming import latest as streaming
 
@@ -123,12 +124,24 @@ def q_merge_two_runs(spark, d):
     return resolve.merge_runs(a, b, keys=KEYS)
 
 
+def _merged(spark, d, inputs: list[int]) -> DataFrame:
+    """The merge of some of three runs, which loses its tombstones if the rule allows it."""
+    runs = _runs(events_log(spark, d))
+    return compaction.compact([runs[k] for k in inputs], compaction.can_drop_tombstones(range(len(runs)), inputs), KEYS)
+
+
 def q_tombstones_kept(spark, d):
-    return compaction.compact(_runs(events_log(spark, d))[:2], False, KEYS)
+    """A merge of the newer two of three runs: the oldest may hold what its tombstones hide, so they stay."""
+    return _merged(spark, d, [1, 2])
+
+
+def q_tombstones_dropped(spark, d):
+    """A merge of the older two of three runs: nothing older is left for its tombstones to hide."""
+    return _merged(spark, d, [0, 1])
 
 
 def q_full_compaction(spark, d):
-    return compaction.compact(_runs(events_log(spark, d)), True, KEYS)
+    return _merged(spark, d, [0, 1, 2])
 
 
 def q_compaction_stats(spark, d):
@@ -136,6 +149,13 @@ def q_compaction_stats(spark, d):
     return compaction.run_stats(log, "run", F.concat(*(F.col(c).cast("string") for c in KEYS)), F.col("props"))
 
 
+def q_entry_sum(spark, d):
+    """Entries of the inputs of each merge of the first n runs, for which its filter is sized."""
+    sizes = {r["run"]: r["entry_count"] for r in q_compaction_stats(spark, d).collect()}
+    metas = [compaction.RunMeta(k, 0, sizes[k]) for k in sorted(sizes)]
+    return literal_rows(spark, [{"runs": n, "entries": compaction.entry_sum(metas[:n])} for n in range(1, len(metas) + 1)], "runs bigint, entries bigint")
+
+
 def q_live_bytes(spark, d):
     log = events_log(spark, d).select(*KEYS, "props", "sequence", "is_tombstone")
     return resolve.live_bytes(log, ["user_id"], F.concat(*(F.col(c).cast("string") for c in KEYS)), F.col("props"), KEYS)
@@ -146,11 +166,6 @@ def q_superseded(spark, d):
 
 
 def q_history(spark, d):
-    log = events_log(spark, d).where("user_id < 20").select(*KEYS, "sequence")
-    return _history(log)
-
-
-def q_history_whole(spark, d):
     return _history(events_log(spark, d).select(*KEYS, "sequence"))
 
 
@@ -171,35 +186,20 @@ def _edits(orders: DataFrame) -> DataFrame:
     return orders.groupBy((F.col("o_orderkey") % 20).alias("version")).agg(gone.alias("removed"), come.alias("added"))
 
 
-def _some_orders(orders: DataFrame) -> DataFrame:
-    return orders.where("o_orderkey % 31 = 0")
-
-
 def q_version_apply(spark, d):
-    return versions.files_at(_edits(_some_orders(_table(spark, d, "orders"))))
-
-
-def q_version_apply_whole(spark, d):
     return versions.files_at(_edits(_table(spark, d, "orders")))
 
 
-def _stale(orders: DataFrame, edited: DataFrame) -> DataFrame:
-    return versions.stale(orders.select((F.col("o_custkey") % 50).alias("file_id")).distinct(), versions.files_at(_edits(edited), 9))
-
-
 def q_version_stale(spark, d):
     o = _table(spark, d, "orders")
-    return _stale(o, _some_orders(o))
-
-
-def q_version_stale_whole(spark, d):
-    o = _table(spark, d, "orders")
-    return _stale(o, o)
+    return versions.stale(o.select((F.col("o_custkey") % 50).alias("file_id")).distinct(), versions.files_at(_edits(o), 9))
 
 
 def q_snapshot_at(spark, d):
+    """The live cells at each quarter of the log."""
     log = _cells(events_log(spark, d))
-    marks = F.filter(F.array(*(F.lit(x) for x in (100, 500, 900))), lambda n: n >= F.col("sequence"))
+    last = log.agg(F.max("sequence")).first()[0] or 0
+    marks = F.filter(F.array(*(F.lit(last * k // 4) for k in (1, 2, 3, 4))), lambda n: n >= F.col("sequence"))
     return resolve.live(log.withColumn("at_sequence", F.explode(marks)), ("at_sequence", *KEYS))
 
 
@@ -208,20 +208,9 @@ def _customer_runs(customers: DataFrame) -> DataFrame:
     return customers.groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("file_id"), size.alias("size_bytes"))).alias("runs"))
 
 
-def _some_customers(spark, d):
-    return _table(spark, d, "customer").where("c_custkey % 5 < 2")
-
-
-def _picked(runs: DataFrame) -> DataFrame:
-    return runs.select("c_nationkey", F.array_join(compaction.size_tier_pick(F.col("runs"), 3, 5), ",").alias("inputs"))
-
-
 def q_size_tier_pick(spark, d):
-    return _picked(_customer_runs(_some_customers(spark, d)))
-
-
-def q_size_tier_pick_whole(spark, d):
-    return _picked(_customer_runs(_table(spark, d, "customer")))
+    runs = _customer_runs(_table(spark, d, "customer"))
+    return runs.select("c_nationkey", F.array_join(compaction.size_tier_pick(F.col("runs"), 3, 5), ",").alias("inputs"))
 
 
 def _droppable(runs: DataFrame) -> DataFrame:
@@ -232,10 +221,6 @@ def _droppable(runs: DataFrame) -> DataFrame:
 
 
 def q_can_drop(spark, d):
-    return _droppable(_customer_runs(_some_customers(spark, d)))
-
-
-def q_can_drop_whole(spark, d):
     return _droppable(_customer_runs(_table(spark, d, "customer")))
 
 
@@ -244,10 +229,6 @@ def _wal(log: DataFrame) -> DataFrame:
 
 
 def q_wal_replay(spark, d):
-    return _cells_of(replay.replayed(_wal(events_log(spark, d)), 8))
-
-
-def q_wal_replay_whole(spark, d):
     """Every segment of the log: the active one is the one after the last."""
     wal = _wal(events_log(spark, d))
     last = wal.agg(F.max("segment")).first()[0]
@@ -324,6 +305,11 @@ def q_crc32c(spark, d):
     return p.select("p_partkey", hashing.crc32c_column(codec.to_bytes(F.col("p_name"))).alias("crc"))
 
 
+def q_hash32(spark, d):
+    p = _table(spark, d, "part")
+    return p.select("p_partkey", *(hashing.hash32_column(codec.to_bytes(F.col("p_name")), F.lit(seed)).alias(f"h{k}") for k, seed in enumerate(hashing.SEEDS)))
+
+
 def q_bloom_fpr(spark, d):
     c = _table(spark, d, "customer").select("c_custkey", codec.to_bytes(F.col("c_name")).alias("key"))
     inside = c.where("c_custkey % 2 = 0")
@@ -338,19 +324,56 @@ def q_stream_latest(spark, d):
     return streaming.run_to_table(streaming.stream_latest(stream, ["user_id", "event_type"], ["value", "is_tombstone"]))
 
 
+def _mutations(log: DataFrame) -> DataFrame:
+    value = F.when(~F.col("is_tombstone"), codec.to_bytes(F.col("props"))).alias("value")
+    return log.select("event_id", *(codec.to_bytes(F.col(c)).alias(n) for c, n in zip(KEYS, ADDRESS, strict=True)), value, "is_tombstone")
+
+
+def _texts(cells: DataFrame, *rest) -> DataFrame:
+    return cells.select(*(codec.to_text(F.col(n)).alias(c) for c, n in zip(KEYS, ADDRESS, strict=True)), codec.to_text(F.col("value")).alias("value"), *rest)
+
+
 def q_store_roundtrip(spark, d):
-    """Batches through a store with flushes and compactions on the way, then a crash and a new start."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    root = f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
-    log = events_log(spark, d)
-    rows = log.select("event_id", *(codec.to_bytes(F.col(c)).alias(n) for c, n in zip(KEYS, ("partition_key", "clustering_key", "column_name"), strict=True)), F.when(~F.col("is_tombstone"), codec.to_bytes(F.col("props"))).alias("value"), "is_tombstone")
+    """Batches through a store with flushes and compactions on the way, then a crash, a new start, and a vacuum of all that is old."""
+    root, rows = shared_dir(spark, "store"), _mutations(events_log(spark, d))
     store = Store.open(spark, root, flush_bytes=1 << 40, policy=compaction.SizeTiered(2, 4))
     for k in range(4):
         store.write(rows.where(F.col("event_id") % 4 == k), F.col("event_id"))
         if k != 3:
             store.flush()
     store = Store.open(spark, root, flush_bytes=1 << 40)
-    return store.live().select(*(codec.to_text(F.col(n)).alias(c) for c, n in zip(KEYS, ("partition_key", "clustering_key", "column_name"), strict=True)), codec.to_text(F.col("value")).alias("value"))
+    store.vacuum(retain_ms=0)
+    return _texts(store.live())
+
+
+def _three_runs(spark, d) -> Store:
+    root, rows = shared_dir(spark, "store"), _mutations(events_log(spark, d))
+    store = Store.open(spark, root, flush_bytes=1 << 40, policy=compaction.SizeTiered(100, 100))
+    for k in range(3):
+        store.write(rows.where(F.col("event_id") % 3 == k), F.col("event_id"))
+        store.flush()
+    return store
+
+
+def q_run_footers(spark, d):
+    """What a pinned version says of its runs."""
+    pin = _three_runs(spark, d).snapshot()
+    rows = [{"file_id": f.file_id, "entry_count": f.entry_count, "highest_sequence": f.max_sequence} for f in pin.files()]
+    pin.release()
+    return literal_rows(spark, rows, "file_id bigint, entry_count bigint, highest_sequence bigint")
+
+
+def q_run_dump(spark, d):
+    """Every cell of the second of three runs."""
+    return dump.dump(_three_runs(spark, d), 2)[1]
+
+
+def q_wal_binary(spark, d):
+    """The log written as binary segments, read again and resolved."""
+    path = shared_dir(spark, "wal")
+    log = _mutations(events_log(spark, d)).select(*ADDRESS, "value", "is_tombstone", (F.col("event_id") + 1).alias("sequence"), F.lit(0).cast("bigint").alias("hlc_ts"))
+    wal.write_segments(log, path, rows=20_000)
+    return _texts(resolve.latest(wal.to_log(replay.valid_prefix_by_join(wal.read_segments(spark, path)))), "sequence", "is_tombstone")
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("q_")}
@@ -371,16 +394,43 @@ def _pairs(x: str) -> str:
 
 
 _KEYHEX = " || ".join(_pairs(f"CAST({c} AS VARCHAR)") for c in KEYS)
-_EDITS = """SELECT o_orderkey % 20 AS version, o_custkey % 37 AS file_id, 0 AS added FROM orders WHERE o_orderkey % 31 = 0 AND o_orderkey % 3 = 0
-UNION SELECT o_orderkey % 20, o_custkey % 40, 1 FROM orders WHERE o_orderkey % 31 = 0 AND o_orderkey % 5 = 0"""
-_ALL_EDITS = """SELECT o_orderkey % 20 AS version, o_custkey % 37 AS file_id, 0 AS added FROM orders WHERE o_orderkey % 3 = 0
+_EDITS = """SELECT o_orderkey % 20 AS version, o_custkey % 37 AS file_id, 0 AS added FROM orders WHERE o_orderkey % 3 = 0
 UNION SELECT o_orderkey % 20, o_custkey % 40, 1 FROM orders WHERE o_orderkey % 5 = 0"""
 _FILES = "SELECT file_id FROM (SELECT file_id, added, row_number() OVER (PARTITION BY file_id ORDER BY version DESC, added DESC) AS rn FROM ({0}) AS e {1}) AS x WHERE rn = 1 AND added = 1"
 _WALSQL = f"SELECT *, event_id // 100 AS segment, event_id % 100 AS place, event_id % 61 <> 60 AS valid FROM ({_EV}) AS e"
 _TORN = f"SELECT * FROM (SELECT *, bool_and(valid) OVER (PARTITION BY segment ORDER BY place ROWS UNBOUNDED PRECEDING) AS ok FROM ({_WALSQL}) AS w) AS t WHERE ok"
-_CUST = "SELECT c_nationkey, c_custkey AS id, CAST(floor(abs(c_acctbal) * 10) AS BIGINT) + 1 AS size FROM customer WHERE c_custkey % 5 < 2"
+_CUST = "SELECT c_nationkey, c_custkey AS id, CAST(floor(abs(c_acctbal) * 10) AS BIGINT) + 1 AS size FROM customer"
+
+_NAMES = "SELECT {0} AS id, [ascii(x) FOR x IN string_split({1}, '')] AS b FROM {2}"
+_CRC = f"""WITH t AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda a, i: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 2197175160 ELSE 0 END)) AS v FROM range(256) AS r(n)))
+SELECT id AS p_partkey, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t.t[xor(c, x) % 256 + 1], c >> 8)), 4294967295) AS crc FROM ({_NAMES.format("p_partkey", "p_name", "part")}) AS n, t"""
+
+
+def _hash(seed: int) -> str:
+    """The seeded hash of a list of bytes b: big-endian words, then a little-endian rest, in 128 bits and cut to 32 after each product."""
+    cut = lambda x, k: f"xor(({x}) * 3332679571 % 4294967296, (({x}) * 3332679571 % 4294967296) >> {k})"
+    words = "list_transform(range(0, len(b) // 4), lambda k: CAST(((b[4 * k + 1] * 256 + b[4 * k + 2]) * 256 + b[4 * k + 3]) * 256 + b[4 * k + 4] AS HUGEINT))"
+    whole = f"list_reduce(list_prepend(CAST(xor(CAST({seed} AS HUGEINT), len(b) * CAST(3332679571 AS HUGEINT) % 4294967296) AS HUGEINT), {words}), lambda h, w: {cut('h + w', 16)})"
+    rest = "list_sum(list_transform(range(0, len(b) % 4), lambda k: b[len(b) // 4 * 4 + k + 1] * (1 << (8 * k))))"
+    last = f"CAST({whole} + coalesce({rest}, 0) AS HUGEINT)"
+    return f"CAST(CASE WHEN len(b) % 4 = 0 THEN {whole} ELSE {cut(last, 24)} END AS BIGINT)"
+
+
+_BLOOM = f"""WITH c AS (SELECT id, {_hash(0xBC9F1D34)} AS x, {_hash(0x6C8E9CF5)} AS y FROM ({_NAMES.format("c_custkey", "c_name", "customer")}) AS n),
+s AS (SELECT k, CAST(ceil(CAST(floor(-k * ln(0.01) / (ln(2) * ln(2))) AS BIGINT) / 8) AS BIGINT) * 8 AS m FROM (SELECT count(*) AS k FROM c WHERE id % 2 = 0)),
+p AS (SELECT id, (x + i * (CASE WHEN y % 2 = 1 THEN y ELSE y + 1 END)) % m AS bit FROM c, s, range(30) AS r(i) WHERE i < greatest(1, least(30, CAST(floor(m / k * ln(2)) AS BIGINT)))),
+b AS (SELECT DISTINCT bit FROM p WHERE id % 2 = 0),
+f AS (SELECT p.id, bool_and(b.bit IS NOT NULL) AS hit FROM p LEFT JOIN b ON p.bit = b.bit GROUP BY p.id)
+SELECT id % 2 = 0 AS stored, count(*) AS probes, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM f GROUP BY 1"""
+_STORED = "SELECT *, event_id % 3 + 1 AS run, (row_number() OVER (ORDER BY event_id % 3, event_id)) AS place FROM ({0}) AS e"
 
 ORACLES = {
+    "q_crc32c": _CRC,
+    "q_hash32": f"SELECT id AS p_partkey, {_hash(0xBC9F1D34)} AS h0, {_hash(0x6C8E9CF5)} AS h1 FROM ({_NAMES.format('p_partkey', 'p_name', 'part')}) AS n",
+    "q_bloom_fpr": _BLOOM,
+    "q_run_footers": f"SELECT run AS file_id, count(DISTINCT (user_id, day, event_type)) AS entry_count, max(place) AS highest_sequence FROM ({_STORED.format(_EV)}) AS s GROUP BY run",
+    "q_run_dump": f"SELECT user_id || '_' || day || '_' || event_type AS key, CASE WHEN is_tombstone THEN '' ELSE props END AS val, is_tombstone AS tom, place AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day, event_type ORDER BY place DESC) AS rn FROM ({_STORED.format(_EV)}) AS s WHERE run = 2) AS r WHERE rn = 1",
+    "q_wal_binary": f"SELECT CAST(user_id AS VARCHAR) AS user_id, day, event_type, CASE WHEN is_tombstone THEN NULL ELSE props END AS value, sequence, is_tombstone FROM ({_newest(_EV, out='*')}) AS n",
     "q_latest_live": _live(_EV),
     "q_latest_raw": _newest(_EV),
     "q_latest_window": _newest(_EV),
@@ -396,19 +446,18 @@ ORACLES = {
     "q_decode_malformed": "SELECT key_hex, regexp_full_match(regexp_replace(key_hex, '(..)', '\\1 ', 'g'), '(((0[1-9A-F]|[1-9A-F].) |00 FF )*00 01 ){3}(.. )*') AS valid FROM (VALUES " + ", ".join(f"('{k}')" for k in MALFORMED) + ") AS t(key_hex)",
     "q_int_codec": "SELECT o_orderkey, printf('%04X', o_orderkey % 65536) AS u16, printf('%08X', o_orderkey) AS u32, printf('%016X', o_orderkey * 1000003) AS u64, o_orderkey * 1000003 AS back FROM orders",
     "q_merge_two_runs": _newest(f"SELECT * FROM ({_EV}) AS e WHERE event_id % 3 < 2"),
-    "q_tombstones_kept": _newest(f"SELECT * FROM ({_EV}) AS e WHERE event_id % 3 < 2"),
+    "q_tombstones_kept": _newest(f"SELECT * FROM ({_EV}) AS e WHERE event_id % 3 > 0"),
+    "q_tombstones_dropped": _newest(f"SELECT * FROM ({_EV}) AS e WHERE event_id % 3 < 2", where="AND NOT is_tombstone"),
     "q_full_compaction": _newest(_EV, where="AND NOT is_tombstone"),
     "q_compaction_stats": f"SELECT event_id % 3 AS run, count(*) AS entry_count, min(sequence) AS min_sequence, max(sequence) AS max_sequence, CAST(sum(strlen(CAST(user_id AS VARCHAR)) + strlen(day) + strlen(event_type) + coalesce(strlen(props), 0) + 17) AS BIGINT) AS logical_bytes FROM ({_EV}) AS e GROUP BY 1",
+    "q_entry_sum": "SELECT n AS runs, CAST((SELECT count(*) FROM events WHERE event_id % 3 < n) AS BIGINT) AS entries FROM range(1, 4) AS t(n)",
     "q_live_bytes": f"SELECT user_id, CAST(sum(strlen(CAST(user_id AS VARCHAR)) + strlen(day) + strlen(event_type) + CASE WHEN is_tombstone THEN 0 ELSE coalesce(strlen(props), 0) END) AS BIGINT) AS live_bytes FROM ({_newest(_EV, out='*')}) AS n GROUP BY user_id",
     "q_superseded": f"SELECT event_type, CAST(sum(v) AS BIGINT) AS versions, count(*) AS addresses, CAST(sum(v - 1) AS BIGINT) AS hidden FROM (SELECT user_id, day, event_type, count(*) AS v FROM ({_EV}) AS e GROUP BY ALL) AS g GROUP BY event_type",
-    "q_history": f"SELECT user_id, day, event_type, sequence, row_number() OVER w AS version, lead(sequence) OVER w AS replaced_by FROM ({_EV}) AS e WHERE user_id < 20 WINDOW w AS (PARTITION BY user_id, day, event_type ORDER BY sequence)",
-    "q_history_whole": f"SELECT user_id, day, event_type, sequence, row_number() OVER w AS version, lead(sequence) OVER w AS replaced_by FROM ({_EV}) AS e WINDOW w AS (PARTITION BY user_id, day, event_type ORDER BY sequence)",
+    "q_history": f"SELECT user_id, day, event_type, sequence, row_number() OVER w AS version, lead(sequence) OVER w AS replaced_by FROM ({_EV}) AS e WINDOW w AS (PARTITION BY user_id, day, event_type ORDER BY sequence)",
     "q_reclaimable": "SELECT DISTINCT o_custkey % 60 AS file_id FROM orders WHERE o_custkey % 60 NOT IN (SELECT o_custkey % 41 FROM orders WHERE o_orderkey % 20 >= 18)",
     "q_version_apply": _FILES.format(_EDITS, ""),
-    "q_version_apply_whole": _FILES.format(_ALL_EDITS, ""),
-    "q_version_stale_whole": f"SELECT DISTINCT o_custkey % 50 AS file_id FROM orders WHERE o_custkey % 50 NOT IN ({_FILES.format(_ALL_EDITS, 'WHERE version <= 9')})",
     "q_version_stale": f"SELECT DISTINCT o_custkey % 50 AS file_id FROM orders WHERE o_custkey % 50 NOT IN ({_FILES.format(_EDITS, 'WHERE version <= 9')})",
-    "q_snapshot_at": _live(f"SELECT * FROM ({_EV}) AS e JOIN (VALUES (100), (500), (900)) AS m(at_sequence) ON sequence <= at_sequence", "at_sequence, user_id, day, event_type", "at_sequence, user_id, day, event_type, value, sequence"),
+    "q_snapshot_at": _live(f"SELECT * FROM ({_EV}) AS e JOIN (SELECT (max(event_id) + 1) * k // 4 AS at_sequence FROM events, range(1, 5) AS q(k) GROUP BY k) AS m ON sequence <= at_sequence", "at_sequence, user_id, day, event_type", "at_sequence, user_id, day, event_type, value, sequence"),
     "q_size_tier_pick": f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY size, id) AS k FROM ({_CUST}) AS c),
 s(c_nationkey, k, id, bucket, n, total) AS (
   SELECT c_nationkey, k, id, 1, 1, CAST(size AS DOUBLE) FROM r WHERE k = 1
@@ -420,9 +469,7 @@ b AS (SELECT c_nationkey, bucket, list_sort(list(id)) AS ids FROM s GROUP BY c_n
 p AS (SELECT c_nationkey, arg_min(ids, ids[1]) AS ids FROM b GROUP BY c_nationkey)
 SELECT n.c_nationkey, array_to_string(list_slice(p.ids, 1, 5), ',') AS inputs FROM (SELECT DISTINCT c_nationkey FROM r) AS n LEFT JOIN p ON n.c_nationkey = p.c_nationkey""",
     "q_can_drop": f"""SELECT c_nationkey, true AS oldest, len(ids) <= 2 AS newest, true AS "all", false AS "none" FROM (SELECT c_nationkey, list_sort(list(id)) AS ids FROM ({_CUST}) AS c GROUP BY c_nationkey) AS g""",
-    "q_can_drop_whole": """SELECT c_nationkey, true AS oldest, len(ids) <= 2 AS newest, true AS "all", false AS "none" FROM (SELECT c_nationkey, list_sort(list(c_custkey)) AS ids FROM customer GROUP BY c_nationkey) AS g""",
-    "q_wal_replay": _newest(f"SELECT * FROM ({_WALSQL}) AS w WHERE segment < 8"),
-    "q_wal_replay_whole": _newest(_WALSQL),
+    "q_wal_replay": _newest(_WALSQL),
     "q_torn_tail": _newest(_TORN),
     "q_torn_tail_join": _newest(_TORN),
     "q_seq_assign": "SELECT o_orderkey, o_custkey, 99 + row_number() OVER (ORDER BY o_custkey, o_orderkey) AS sequence FROM orders",
@@ -437,4 +484,3 @@ SELECT n.c_nationkey, array_to_string(list_slice(p.ids, 1, 5), ',') AS inputs FR
     "q_stream_latest": f"SELECT user_id, event_type, sequence, value, is_tombstone FROM ({_newest(_EV, 'user_id, event_type', out='*')}) AS n",
     "q_store_roundtrip": f"SELECT CAST(user_id AS VARCHAR) AS user_id, day, event_type, props AS value FROM ({_live('SELECT user_id, day, event_type, value, props, (event_id % 4) * 1000000000 + event_id AS sequence, is_tombstone FROM (' + _EV + ') AS e', out='*')}) AS n",
 }
-ORACLES["q_size_tier_pick_whole"] = ORACLES["q_size_tier_pick"].replace(" WHERE c_custkey % 5 < 2", "")

@@ -73,3 +73,11 @@ def test_clock_in_closed_form_equals_the_recurrence(spark):
     assert [r["t"] for r in df.select("i", hlc.timestamps(F.col("c"), F.col("i"), 17).alias("t")).orderBy("i").collect()] == want
     r = spark.range(1).select(hlc.pack(F.lit(1000), F.lit(7)).alias("p")).select("p", F.unix_millis(hlc.to_timestamp(F.col("p")))).first()
     assert tuple(r) == ((1000 << 16) + 7, 1000)
+
+
+def test_hashes_of_batches_equal_single_ones():
+    rng = random.Random(4)
+    values = [bytes(rng.randrange(256) for _ in range(rng.randrange(14))) for _ in range(300)]
+    for seed in (*hashing.SEEDS, 0):
+        assert hashing.hash32_batch(values, seed).tolist() == [hashing.hash32(v, seed) for v in values]
+    assert hashing.hash32_batch([], 1).tolist() == []

@@ -55,3 +55,23 @@ def test_stream_gives_the_newest_version_of_every_key(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     out = latest.run_to_table(latest.stream_latest(latest.read_log(spark, str(tmp_path / "in"), schema), ["k"], ["v"]))
     assert sorted(map(tuple, out.collect())) == [("a", 3, "z"), ("b", 5, "y")]
+
+
+def test_segments_are_written_by_spark_and_read_back(spark, tmp_path):
+    cells = [(bytearray(b"p%d" % (i % 7)), bytearray(b"c\x00%d" % i), bytearray(b"\xff"), None if i % 5 == 0 else bytearray(b"\n\x00v%d" % i), i % 5 == 0, 10 + i, 99 - i) for i in range(25)]
+    log = spark.createDataFrame(cells, "partition_key binary, clustering_key binary, column_name binary, value binary, is_tombstone boolean, sequence bigint, hlc_ts bigint")
+    root = f"file://{tmp_path}/wal"
+    assert wal.write_segments(log.repartition(3), root, first=4, rows=10) == ["wal_00000004.log", "wal_00000005.log", "wal_00000006.log"]
+    records = wal.read_segments(spark, root)
+    assert {r["segment"]: r["count"] for r in records.groupBy("segment").count().collect()} == {4: 10, 5: 10, 6: 5} and records.where("not valid").count() == 0
+    assert sorted(map(str, wal.to_log(records).collect())) == sorted(map(str, log.collect()))
+    raw = (tmp_path / "wal" / "wal_00000005.log").read_bytes()
+    reader, seen = wal.RecordReader(raw), 0
+    with pytest.raises(errors.EndOfLog):
+        while True:
+            reader.next()
+            seen += 1
+    assert seen == 10
+    (tmp_path / "wal" / "wal_00000005.log").write_bytes(raw[:60] + bytes([raw[60] ^ 1]) + raw[61:])
+    assert wal.read_segments(spark, root).where("segment = 5 and valid").count() == 1
+    assert wal.write_segments(log.limit(0), root) == []
