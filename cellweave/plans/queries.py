@@ -50,7 +50,11 @@ def q_latest_raw(spark, d):
 
 
 def q_latest_window(spark, d):
-    return resolve.latest_by_window(_cells(events_log(spark, d)), KEYS)
+    return resolve.latest(_cells(events_log(spark, d)), KEYS)
+
+
+def q_latest_aggregate(spark, d):
+    return resolve.latest_by_aggregate(_cells(events_log(spark, d)), KEYS)
 
 
 def q_point_get(spark, d):
@@ -434,6 +438,7 @@ ORACLES = {
     "q_latest_live": _live(_EV),
     "q_latest_raw": _newest(_EV),
     "q_latest_window": _newest(_EV),
+    "q_latest_aggregate": _newest(_EV),
     "q_point_get": f"WITH ev AS ({_EV}) {_live('SELECT ev.* FROM ev JOIN (SELECT user_id AS u, day AS d, event_type AS t FROM ev WHERE sequence = 6) AS k ON user_id = u AND day = d AND event_type = t')}",
     "q_get_raw": f"WITH ev AS ({_EV}) {_newest('SELECT ev.* FROM ev JOIN (SELECT user_id AS u, day AS d, event_type AS t FROM ev WHERE sequence = 8) AS k ON user_id = u AND day = d AND event_type = t')}",
     "q_multi_get": f"WITH ev AS ({_EV}), k AS (SELECT DISTINCT user_id, day, event_type FROM ev WHERE sequence % 11 = 0), l AS ({_live('SELECT * FROM ev')}) SELECT k.user_id, k.day, k.event_type, l.value, l.sequence FROM k LEFT JOIN l ON k.user_id = l.user_id AND k.day = l.day AND k.event_type = l.event_type",

@@ -47,7 +47,7 @@ def test_both_forms_of_latest_equal_a_dictionary_on_random_logs(spark):
     rows = [(f"k{rng.randrange(40)}", f"v{i}", i, rng.random() < 0.3) for i in range(600)]
     want = {k: (v, s, t) for k, v, s, t in rows}
     log = log_of(spark, rng.sample(rows, len(rows)))
-    for form in (resolve.latest, resolve.latest_by_window):
+    for form in (resolve.latest, resolve.latest_by_aggregate):
         assert {r["k"]: (r["value"], r["sequence"], r["is_tombstone"]) for r in form(log, KEY).collect()} == want
     live = {k: v for k, (v, _, t) in want.items() if not t}
     assert {r["k"]: r["value"] for r in resolve.live(log, KEY).collect()} == live
@@ -55,7 +55,7 @@ def test_both_forms_of_latest_equal_a_dictionary_on_random_logs(spark):
 
 def test_ties_of_the_sequence_resolve_by_tombstone_then_value(spark):
     log = log_of(spark, [("a", "x", 1, False), ("a", "y", 1, False), ("b", "z", 2, False), ("b", None, 2, True)])
-    for form in (resolve.latest, resolve.latest_by_window):
+    for form in (resolve.latest, resolve.latest_by_aggregate):
         assert sorted(map(tuple, form(log, KEY).select("k", "value", "is_tombstone").collect())) == [("a", "y", False), ("b", None, True)]
 
 
