@@ -1,7 +1,8 @@
 """Line-first quality cleaning with built-in functions only.
 
-Every line is judged by itself (symbols, shouting, navigation bars, one word over and over, boilerplate); failing lines are
-removed, and a document that loses too much of its text is rejected. All work is local to a row: no shuffle at any size.
+Every line is judged by itself (symbols, shouting, navigation bars and labels without closing punctuation, a few words over and
+over, boilerplate); failing lines are removed, and a document that loses too much of its text is rejected. A rule on words looks at
+a bounded neighbourhood of each, so a line of a million words is judged as a line of twenty. All work is local to a row: no shuffle.
 
 Defined results: null and empty texts have no words, fail the base rule and give an empty ``clean_text``; repeated rows are
 judged one by one; other columns of the input are carried through untouched (columns named like a result are replaced).
@@ -47,8 +48,24 @@ def _count(starts: Column) -> Column:
 HINTS = ("licensed under", "all rights", "terms of", "privacy policy", "cookies", "enable javascript", "copyright (c)", "our newsletter")
 
 
+#: A word that closes a sentence, maybe with quotes or brackets after its mark.
+CLOSED = r"[.!?…:;。！？]['\"”’»)\]]*$"
+#: Most words of a navigation label; words before a word that make it a repeated one.
+LABEL, NEAR = 3, 8
+
+
+def _stuck(words: Column) -> Column:
+    """Ten words or more, of which over three quarters stand among the eight words before them.
+
+    Such a line has fewer different words than a quarter; that is asked first, as it takes one step.
+    """
+    n = F.size(words)
+    stale = F.filter(F.sequence(F.lit(2), n), lambda i: F.array_contains(F.slice(words, F.greatest(F.lit(1), i - NEAR), F.least(i - 1, F.lit(NEAR))), F.get(words, i - 1)))
+    return (n >= 10) & (4 * F.size(F.array_distinct(words)) < n) & (4 * F.size(stale) > 3 * n)
+
+
 def line_fails(line: Column, words: Column, flags: dict[str, Column]) -> Column:
-    """True for lines that are symbol noise, shouting, navigation, a stuck word, or boilerplate.
+    """True for lines that are symbol noise, shouting, navigation, an unfinished label, stuck words, or boilerplate.
 
     flags: of the whole document; a rule whose flag is false can't hit any of its lines.
     """
@@ -56,8 +73,8 @@ def line_fails(line: Column, words: Column, flags: dict[str, Column]) -> Column:
     symbols = 10 * F.regexp_count(line, F.lit(SYMBOLS)) > F.length(F.array_join(words, ""))
     shouting = (n >= 3) & (2 * F.regexp_count(line, F.lit(r"!!")) > n)
     navigation = (F.regexp_count(line, F.lit(r" \| ")) >= 3) | ((n >= 4) & (2 * F.regexp_count(line, F.lit(r"[»›•|]")) > n))
-    stuck = (n >= 10) & (4 * F.size(F.array_distinct(words)) < n)
-    return (flags["symbols"] & symbols) | (flags["shouting"] & shouting) | (flags["navigation"] & navigation) | stuck | (flags["boilerplate"] & line.rlike(BOILERPLATE))
+    label = (n >= 1) & (n <= LABEL) & ~F.element_at(words, -1).rlike(CLOSED)
+    return (flags["symbols"] & symbols) | (flags["shouting"] & shouting) | (flags["navigation"] & navigation) | label | _stuck(words) | (flags["boilerplate"] & line.rlike(BOILERPLATE))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat: int = 50, min_left: int = 50) -> DataFrame:

@@ -45,3 +45,15 @@ def test_failing_lines_go_and_clean_text_stays(spark):
 
 def test_filter_on_the_verdict(spark):
     assert sorted(r["doc_id"] for r in op.quality_rules(documents(spark, [(30, PROSE), (37, "x")])).where("kept").collect()) == [30]
+
+
+def test_line_rules_do_not_depend_on_the_length_of_a_line(spark):
+    prose = PROSE + "."
+    few = "buy this now " * 40
+    slow = " ".join(f"w{i % 40}" for i in range(4000))  # 40 words over and over, but never close together
+    cases = [(1, f"{prose}\n{few}"), (2, f"{prose}\n{few * 300}"), (3, slow), (4, f"{prose}\nHome\nAbout us\nHe left.\nOh no!\n“Yes.”\nOne two three four"), (5, prose + "\n" + " ".join(["same"] * 9))]
+    rows = {r["doc_id"]: r for r in op.quality_rules(documents(spark, cases)).collect()}
+    assert rows[1]["n_lines_removed"] == rows[2]["n_lines_removed"] == 1 and rows[1]["clean_text"] == rows[2]["clean_text"] == prose
+    assert rows[3]["n_lines_removed"] == 0
+    assert rows[4]["clean_text"] == f"{prose}\nHe left.\nOh no!\n“Yes.”\nOne two three four"
+    assert rows[5]["n_lines_removed"] == 0
