@@ -6,8 +6,14 @@ result is again a valid value of the same kind, and since the permutation is key
 across documents. E-mail addresses and secrets (hex or base-62 strings after a key-like name, and access keys) get a keyed digest in their form.
 Candidates that fail validation (numbers with a wrong check digit, impossible dates) are left as they are.
 
+The key is a parameter or the session's setting ``spark.cellweave.pii.key``; without either the operator refuses to work, since
+whoever has the key can undo the pseudonyms. Spark shows literals in plans: cover the key with ``spark.redaction.string.regex``.
+
 Defined results: a null text stays null with no findings; the empty text stays empty; texts without a digit or an at-sign are
-passed through after one cheap scan. Repeated rows are treated alike, other columns are carried through untouched.
+passed through after one cheap scan. Dates from 1900 to 2099-11-12 are permuted among themselves, all earlier and later ones among
+themselves; from June of the year 9996 on (such as 9999-12-31, which stands for no date) they are left as they are. Repeated rows are
+treated alike, other columns are carried through untouched. Every pattern starts at a border and reads on without going back, so
+a text of one long run of letters or digits takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -15,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "cellweave-development-key"
+KEY_SETTING = "spark.cellweave.pii.key"
+#: Of the registered queries and tests where the setting is missing; public, so no protection.
+PUBLIC_KEY = "cellweave-development-key"
 ROUNDS = 8
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*+(?<=[A-Za-z0-9])@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 SECRET = r"(?<=(?i:token|secret|passwd|password|api_key|apikey|access_key)\x20?[=:]\x20?[\"']?)[A-Za-z0-9_\-]{16,}"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
 DATE = r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w-]|\.\d)"
@@ -29,8 +37,19 @@ CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d
 ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
 ANY = "|".join((EMAIL, SECRET, ACCESS_KEY, IP, DATE, SSN, PHONE, CARD))
 
-#: Dates in this many days from 1900-01-01 are permuted among themselves (a product of two factors, as the network needs).
-FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 250, 292
+#: Days in two ranges, each of a product of two factors, as the network needs: from 1900-01-01 on, and all others from 0001-01-01 on.
+FIRST_DAY, RECENT_DAY = "0001-01-01", "1900-01-01"
+RECENT, OTHERS = (250, 292), (1891, 1892)
+#: Numbers of areas (001 to 899 without 666) with groups (01 to 99), and of serials (0001 to 9999).
+AREAS_GROUPS, SERIALS = 898 * 99, 9999
+
+
+def key_of(spark, default: str | None = None) -> str:
+    """The session's key; ``default`` is for queries that must run without one."""
+    key = spark.conf.get(KEY_SETTING, None) or default
+    if not key:
+        raise ValueError(f"set {KEY_SETTING}, or give a key")
+    return key
 
 
 def _prf(key: str, label: Column, i: Column, x: Column) -> Column:
@@ -105,7 +124,18 @@ def mask_phone(x: Column, key: str, inverse: bool = False) -> Column:
 
 
 def mask_ssn(x: Column, key: str, inverse: bool = False) -> Column:
-    return _refill(x, permute_digits(_only_digits(x), key, "ssn", inverse))
+    """Permutes the valid numbers alone: area and group make one half of the network, the serial the other."""
+    d = _only_digits(x)
+    area, group, serial = (F.substring(d, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+    place = area - F.when(area > 666, 2).otherwise(1)
+    s = feistel(place * 99 + group - 1, serial - 1, F.lit(AREAS_GROUPS).cast("long"), F.lit(SERIALS).cast("long"), key, F.lit("ssn"), inverse)
+
+    def written(s: Column) -> Column:
+        place = F.floor(s["u"] / 99)
+        parts = ((place + F.when(place >= 665, 2).otherwise(1), 3), (s["u"] % 99 + 1, 2), (s["v"] + 1, 4))
+        return F.concat(*(F.lpad(n.cast("string"), k, "0") for n, k in parts))
+
+    return F.transform(F.array(s), lambda s: _refill(x, written(s)))[0]
 
 
 def mask_ip(x: Column, key: str, inverse: bool = False) -> Column:
@@ -121,22 +151,42 @@ def _date(x: Column) -> Column:
     return F.when(x.rlike(r"^\d{4}-"), iso).otherwise(F.try_to_timestamp(F.regexp_replace(x, "/", "."), F.lit("dd.MM.yyyy")).cast("date"))
 
 
+def _days(x: Column) -> tuple[Column, Column]:
+    """(days from 1900-01-01, place among all days that are not in the recent range)."""
+    recent = F.datediff(_date(x), F.lit(RECENT_DAY).cast("date")).cast("long")
+    day = F.datediff(_date(x), F.lit(FIRST_DAY).cast("date")).cast("long")
+    return recent, F.when(recent < 0, day).otherwise(day - RECENT[0] * RECENT[1])
+
+
+def _in_recent(recent: Column) -> Column:
+    return (recent >= 0) & (recent < RECENT[0] * RECENT[1])
+
+
 def mask_date(x: Column, key: str, inverse: bool = False) -> Column:
-    n = F.datediff(_date(x), F.lit(FIRST_DAY).cast("date")).cast("long")
-    s = feistel(F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A).cast("long"), F.lit(DAYS_B).cast("long"), key, F.lit("date"), inverse)
-    day = lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["u"] * DAYS_B + s["v"]).cast("int"))
+    recent, place = _days(x)
+    before = F.datediff(F.lit(RECENT_DAY).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
+
+    def permuted(n: Column, factors: tuple[int, int], label: str) -> Column:
+        a, b = factors
+        s = feistel(F.floor(n / b), n % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, F.lit(label), inverse)
+        return F.transform(F.array(s), lambda s: s["u"] * b + s["v"])[0]
+
+    other = F.transform(F.array(permuted(place, OTHERS, "other date")), lambda n: n + F.when(n >= before, RECENT[0] * RECENT[1]).otherwise(0))[0]
+    day = F.when(_in_recent(recent), before + permuted(recent, RECENT, "date")).otherwise(other)
     style = lambda d: F.when(x.rlike(r"^\d{4}-"), F.date_format(d, "yyyy-MM-dd")).when(x.contains("/"), F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
-    return F.transform(F.array(s), lambda s: style(day(s)))[0]
+    return F.transform(F.array(day), lambda n: style(F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))))[0]
 
 
 def _date_valid(x: Column) -> Column:
-    n = F.datediff(_date(x), F.lit(FIRST_DAY).cast("date"))
-    return F.coalesce((n >= 0) & (n < DAYS_A * DAYS_B), F.lit(False))
+    recent, place = _days(x)
+    return F.coalesce(_in_recent(recent) | ((place >= 0) & (place < OTHERS[0] * OTHERS[1])), F.lit(False))
 
 
 def mask_email(x: Column, key: str) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(x)), 256)
-    return F.concat(F.lit("u"), F.substring(digest, 1, 16), F.lit("@masked.invalid"))
+    """Marks before the address are no part of it and stay."""
+    marks = F.regexp_extract(x, r"^[._%+-]*", 0)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(F.substring(x, F.length(marks) + 1, F.length(x)))), 256)
+    return F.concat(marks, F.lit("u"), F.substring(digest, 1, 16), F.lit("@masked.invalid"))
 
 
 def mask_secret(x: Column, key: str) -> Column:
@@ -173,8 +223,9 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """Replaces the text and adds ``n_masked`` and ``kinds`` (the kinds found, sorted)."""
+def pseudonymize(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """Replaces the text and adds ``n_masked`` and ``kinds`` (the kinds found, sorted). Without a key the session's is taken."""
+    key = key or key_of(docs.sparkSession)
     carried = [c for c in docs.columns if c not in ("n_masked", "kinds")]
     some = F.coalesce(F.col(text).rlike("[0-9@]|(?i:token|secret|passw|key)|A[KS]IA"), F.lit(False))
     none = F.array().cast("array<string>")

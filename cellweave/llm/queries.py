@@ -42,7 +42,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data pseudonymised."""
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii.key_of(spark, pii.PUBLIC_KEY))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

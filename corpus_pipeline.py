@@ -13,7 +13,7 @@ from cellweave.llm.common import small, stored, table
 from cellweave.llm.decontaminate import decontaminate
 from cellweave.llm.near_dup import near_duplicates
 from cellweave.llm.packing import pack_documents
-from cellweave.llm.pii import pseudonymize
+from cellweave.llm.pii import PUBLIC_KEY, key_of, pseudonymize
 from cellweave.llm.quality_rules import OUTPUT, quality_rules
 
 
@@ -59,8 +59,8 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms of their format."""
-    return _with_text(pseudonymize(docs), F.col("text"), docs.columns)
+    """Personal data become pseudonyms of their format, by the key in spark.cellweave.pii.key (a public one where that is unset)."""
+    return _with_text(pseudonymize(docs, key=key_of(spark, PUBLIC_KEY)), F.col("text"), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
