@@ -35,8 +35,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
-    listed = spark.createDataFrame([(x,) for x in url_filter.LISTED], "entry string")
-    r = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), listed)
+    r = url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.made_list(spark))
     return r.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -124,6 +123,6 @@ WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?
 r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v FROM (SELECT DISTINCT page_id, host, path FROM u) AS u
       JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p) GROUP BY page_id)
-SELECT u.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '(^|\.)(spam-farm\.example\.org|cheap-pills\.example\.com|free-bets\.example\.com)$') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT u.page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.+$', ''), '(^|\.)(spam-farm|cheap-pills|free-bets|casino-win)(-([1-9][0-9]{0,2}|1[0-9]{3}))?\.example\.(com|org|net)$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN m ON u.page_id = m.page_id""",
 }
