@@ -9,13 +9,14 @@ Every hit is scored in its window of neighbouring words: quotation marks and wor
 other hits beside it and words of address count it as abuse. A logistic regression over a few such sums per document gives the
 score. Labels, language, source and doc_id are never inputs of it.
 
-The lexicon and the regression are fitted on at most ``sample`` labelled rows (those with the least hashes); their counts are
-added up on the executors, and what reaches the driver is bounded by ``most_terms`` and by ``sample`` rows of features. Scoring
-is local to a row: no shuffle, constant memory.
+The lexicon and the regression are fitted on at most ``sample`` labelled doc_ids (those with the least hashes), each with one text:
+of several, the least in binary order. Counts are added up on the executors; the driver gets the terms that pass, none left out,
+which are fewer than a quarter of the words of the sampled toxic texts, and one row of features a sampled text. Scoring is local
+to a row: no shuffle, constant memory.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits; repeated rows are scored alike;
-without a usable labelled row the score is 0 for all; labels that are null, or whose doc_id is, are ignored; other columns are
-not read.
+without a usable labelled row the score is 0 for all; labels that are null, or whose doc_id is, are ignored; words and terms may
+have any length, of which those under five letters match exactly only; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import small, stored
 
 WORDS = re.compile(r"[^\W_]+")
 QUOTES = re.compile("[\"“”«»„]")
@@ -64,12 +65,8 @@ class LexiconAutomaton:
             self.ends[at] = w
         self.budget = [0] * len(self.children)  # most edits of any term below a node
 
-        def fill(at: int) -> int:
-            below = [fill(c) for c in self.children[at].values()]
-            self.budget[at] = max([edits_for(self.ends[at]) if self.ends[at] else 0, *below])
-            return self.budget[at]
-
-        fill(0)
+        for at in range(len(self.children) - 1, -1, -1):  # children come after their parents
+            self.budget[at] = max([edits_for(self.ends[at]) if self.ends[at] else 0, *(self.budget[c] for c in self.children[at].values())])
         self.start = self._close({0: 0})
         self.table: dict[tuple[frozenset, str], frozenset] = {}
 
@@ -128,8 +125,6 @@ def features(text: str | None, automaton: LexiconAutomaton, seen: dict[str, tupl
     words = WORDS.findall(low)
     hits = []
     for i, w in enumerate(words):
-        if len(w) < 4:
-            continue
         try:
             m = seen[w]
         except KeyError:
@@ -177,13 +172,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
     return w
 
 
-def choose_terms(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int, most: int) -> tuple[dict[str, float], dict[str, float]]:
+#: Fewest toxic documents of a term, and the least share of toxic ones among all that have it (and one more).
+LEAST, PRECISION = 4, 0.75
+
+
+def choose_terms(counts: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with their weights, from (term, is a stem, toxic documents, clean documents)."""
 
     def precision(a: int, b: int) -> float:
         return a / (a + b + 1)
 
-    kept = sorted((x for x in counts if x[2] >= 4 and precision(*x[2:]) >= 0.75), key=lambda x: (-x[2], x[3], x[0], x[1]))[:most]
+    kept = sorted((x for x in counts if x[2] >= LEAST and precision(*x[2:]) >= PRECISION), key=lambda x: (-x[2], x[3], x[0], x[1]))
     weight = lambda a, b: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
     whole = {t: (a, b) for t, s, a, b in kept if not s}
     told: dict[str, int] = {}  # by stem, the documents of its most frequent word
@@ -197,15 +196,15 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], toxic: int, clean: in
 
 
 def document_terms(text: str | None) -> set[tuple[str, bool]]:
-    words = {w for w in WORDS.findall((text or "").lower()) if len(w) >= 4}
+    words = set(WORDS.findall((text or "").lower()))
     return {(w, False) for w in words} | {(w[:n], True) for w in words for n in STEM_LENGTHS if len(w) > n}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int, most_terms: int, least: int = 4) -> tuple[dict[str, float], dict[str, float], list[float]] | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[dict[str, float], dict[str, float], list[float]] | None:
     """Words, stems and regression weights, from documents (doc_id, text) and labels (doc_id, toxic)."""
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("k"), F.col("toxic").cast("int").alias("y"))
-    train = docs.join(small(chosen, sample), F.col("doc_id") == F.col("k")).select("y", "text")
+    train = stored(docs.join(small(chosen, sample), F.col("doc_id") == F.col("k")).groupBy("k", "y").agg(F.min("text").alias("text")).select("y", "text"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents of either label by term; terms of toxic documents only, as others can't be chosen."""
@@ -219,10 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int, most_terms: int, least:
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys] + [""]), pa.array([s for _, s in keys] + [False]), pa.array([a[k] for k in keys] + [n[1]], pa.int64()), pa.array([b[k] for k in keys] + [n[0]], pa.int64())], names=["term", "stem", "a", "b"])
 
     summed = train.mapInArrow(count, "term string, stem boolean, a bigint, b bigint").groupBy("term", "stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rows = summed.where(f"term = '' or (a >= {least} and a > b)").orderBy(F.col("term") != "", F.desc("a"), "b", "term", "stem").limit(20 * most_terms + 1).collect()
-    if not rows or rows[0]["term"] or not rows[0]["a"] or not rows[0]["b"]:
+    rows = summed.where(f"term = '' or (a >= {LEAST} and a >= {PRECISION} * (a + b + 1))").collect()
+    total = next((r for r in rows if not r["term"]), None)
+    if total is None or not total["a"] or not total["b"]:
         return None
-    words, stems = choose_terms([(r["term"], r["stem"], r["a"], r["b"]) for r in rows[1:]], rows[0]["a"], rows[0]["b"], most_terms)
+    words, stems = choose_terms([(r["term"], r["stem"], r["a"], r["b"]) for r in rows if r["term"]], total["a"], total["b"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, seen = LexiconAutomaton(words, stems), {}
@@ -237,10 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int, most_terms: int, least:
     return words, stems, logistic(np.repeat(x, repeats, axis=0), np.repeat(y, repeats)).tolist()
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, most_terms: int = 4000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 10_000, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(doc_id, score, hits) of every document row; sample: most labelled rows that the model is fitted on."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    model = fit(own, labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")), sample, most_terms)
+    model = fit(own, labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")), sample)
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

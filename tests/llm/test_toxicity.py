@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 from corpus_cases import LONG, ODD, documents
@@ -88,3 +90,63 @@ def test_without_usable_labels_all_scores_are_low(spark, labels):
     got = op.toxicity(documents(spark, rows), spark.createDataFrame(labels, LABELS)).collect()
     assert len(got) == 8 and all(r["score"] < 0.5 for r in got)
     assert op.toxicity(documents(spark, []), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_terms_of_any_length(spark):
+    rng = random.Random(8)
+    rows, labels = made(rng, 120)
+    long = "z" * 5000 + "q"
+    docs = [(i, t + (f" {long} zat" if y else "")) for (i, t), (_, y, _, _) in zip(rows, labels, strict=True)]
+    docs = [*docs, (500, f"some words with {long[1:]} here"), (501, "some words with zat here"), (502, "some words with zet here")]
+    words, stems, _ = op.fit(documents(spark, docs).select("doc_id", "text"), spark.createDataFrame(labels, LABELS), 1000)
+    assert "zat" in words and (long in words or any(long.startswith(s) for s in stems))
+    by = {r["doc_id"]: r["hits"] for r in op.toxicity(documents(spark, docs), spark.createDataFrame(labels, LABELS)).collect()}
+    assert by[500] == 1 and by[501] == 1 and by[502] == 0
+
+
+def test_no_term_is_left_out(spark):
+    docs = [(i, " ".join(f"bad{k}x" for k in range(6000))) for i in range(4)] + [(10 + i, "good words only") for i in range(4)]
+    labels = [(i, int(i < 4), 1, "x") for i, _ in docs]
+    words, stems, _ = op.fit(documents(spark, docs).select("doc_id", "text"), spark.createDataFrame(labels, LABELS), 1000)
+    assert all(f"bad{k}x" in words or any(f"bad{k}x".startswith(s) for s in stems) for k in range(6000))
+
+
+def brute_score(text, words, stems, weights):
+    """The score of a text, by distances to every term."""
+    low = (text or "").lower()
+    found = list(re.finditer(r"[^\W_]+", low))
+    tokens = [m[0] for m in found]
+    hits = {}
+    for i, w in enumerate(tokens):
+        if w in words:
+            hits[i] = (words[w], 0)
+        elif short := [stems[w[:n]] for n in range(4, 9) if len(w) >= n and w[:n] in stems]:
+            hits[i] = (short[0], 0)
+        else:
+            near = [(d, -words[t], t) for t in words if abs(len(t) - len(w)) <= 2 and (d := distance(w, t)) <= (0 if len(t) < 5 else 1 if len(t) < 9 else 2)]
+            if near:
+                hits[i] = (-min(near)[1], min(near)[0])
+    kinds = {}
+    marks = '"“”«»„'
+    for i, (weight, edits) in hits.items():
+        around = tokens[max(0, i - 6) : i] + tokens[i + 1 : i + 7]
+        left = low[found[max(0, i - 6)].start() : found[i].start()]
+        right = low[found[i].end() : found[min(len(tokens) - 1, i + 6)].end()]
+        quote = sum(w in op.REPORTING for w in around) + 2 * (any(c in left for c in marks) and any(c in right for c in marks))
+        abuse = sum(w in op.ADDRESS for w in around) / 2 + sum(j != i and abs(j - i) <= 6 for j in hits)
+        kinds.setdefault(tokens[i], []).append(("quoted" if quote > abuse else "fuzzy" if edits else "exact", weight / (edits + 1)))
+    best = [min(x) for x in kinds.values()]
+    x = [math.log1p(sum(w for k, w in best if k == kind)) for kind in ("exact", "fuzzy", "quoted")] + [math.log1p(len(best)), math.log1p(len(hits)), 100 * len(best) / (len(tokens) + 20) if hits else 0.0]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, weights, strict=False)) + weights[-1]))))
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows, labels = made(rng, 160)
+    forms = ["grumblix", "grumblx", "snarfingly", "snrafing", "plorkers", "plorker", "“plorkers”", "you", "said", "term", "word5", '"', "GRUMBLIXX", "zz"]
+    docs = [*rows, *((1000 + i, " ".join(rng.choice(forms) for _ in range(rng.randrange(25)))) for i in range(150)), (2000, None), (2001, "")]
+    table = spark.createDataFrame(labels, LABELS)
+    words, stems, weights = op.fit(documents(spark, docs).select("doc_id", "text"), table, 10_000)
+    texts = dict(docs)
+    got = op.toxicity(documents(spark, docs), table).collect()
+    assert len(got) == len(docs) and all(math.isclose(r["score"], brute_score(texts[r["doc_id"]], words, stems, weights), rel_tol=1e-9) for r in got)
