@@ -1,10 +1,12 @@
 """Benchmark decontamination by a positional inverted index, with built-in functions only.
 
 Test items are cut into windows of ``size`` consecutive words. One pass over the corpus counts every test term; a window with an
-absent term cannot occur. Of each other window the rarest term is its anchor. A second pass stores the postings of the anchors
-alone: (term, document, position) with the words around the position, which are the entries of the other terms' lists that an
-offset-adjusted intersection can reach from there. An exact phrase match compares them with the window at the anchor's offset;
-a proximity match asks for all of its words in the posting's neighbourhood, in any order.
+absent term cannot occur. Of each other window the rarest term is its anchor. A second pass stores the postings of the anchors:
+(term, document, position) with the words around the position. Those are the entries of the other terms' lists that an
+offset-adjusted intersection can reach from there, kept beside the posting that needs them: the lists of common terms, most of
+the corpus, are never stored, shuffled or merged. An exact phrase match probes them at the offsets of the window, starting from
+the anchor; a proximity match asks for all words of the window in the neighbourhood, in any order. The same pass notes the
+number of words of each document.
 
 Common words are never anchors unless a window has nothing rarer, so the stored table follows the matches, not the corpus.
 Windows and test terms are broadcast only while their counted rows stay below a limit; beyond, the joins shuffle on the term.
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small, stored, tokens
+from .common import BROADCAST_ROWS, ascii_lower, small, stored, tokens
 
 #: Words that may stand among those of a window that is near.
 SLACK = 2
@@ -55,13 +57,19 @@ def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, anchors: DataFrame, reach: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, term, pos, left, around): one row for each occurrence of an anchor, with ``reach - 1`` words to each side."""
-    terms = anchors.select(F.col("anchor").alias("term")).distinct()
+    """(doc_id, text_hash, term, pos, left, around): one row for each occurrence of an anchor, with ``reach - 1`` words to each side,
+    and one for each document row with a null term and the number of words as ``pos``."""
+    terms = anchors.select(F.col("anchor").alias("__t")).distinct()
     w = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(F.col(text)).alias("w"))
-    each = w.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "term"))
+    each = w.select("doc_id", "text_hash", "w", F.posexplode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("pos", "term"))
+    n = terms.count()
+    if n <= BROADCAST_ROWS:
+        found = each.join(F.broadcast(terms), F.col("term") == F.col("__t"), "left").where("term is null or __t is not null")
+    else:  # documents' own rows stay out of the shuffle on the term
+        found = each.where("term is not null").join(terms, F.col("term") == F.col("__t")).unionByName(each.where("term is null").withColumn("__t", F.lit(None).cast("string")))
     left = F.least(F.col("pos"), F.lit(reach - 1))
     near = F.slice("w", F.col("pos") - left + 1, left + reach)
-    return each.join(small(terms, terms.count()), "term").select("doc_id", "text_hash", "term", "pos", left.alias("left"), near.alias("around"))
+    return found.select("doc_id", "text_hash", "term", "pos", left.alias("left"), F.when(F.col("term").isNotNull(), near).alias("around"))
 
 
 def phrase_matches(index: DataFrame, anchors: DataFrame, rows: int) -> DataFrame:
@@ -107,7 +115,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 8, min_items: i
         F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     found = spans.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), _covered(F.col("spans")).alias("n_hit"), "items")
-    every = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
+    every = index.where("term is null").select("doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
     both = every.join(found, every["doc_id"].eqNullSafe(found["hit_id"]) & (every["text_hash"] == found["hit_hash"]), "left")
     both = both.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("text_hash") == F.col("near_hash")), "left")
     listed, close = (F.coalesce(c, F.array().cast("array<string>")) for c in ("items", "near_items"))

@@ -10,9 +10,9 @@ from .common import table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word hits of benchmark windows in every document."""
+    """Word hits of benchmark windows in every document, and the items that have a window close together in any order."""
     r = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return r.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return r.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near", F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,16 @@ tok AS (SELECT doc_id, w, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM
 spans AS (SELECT tok.doc_id, tok.p, sizes.k, list_slice(tok.w, tok.p, tok.p + sizes.k - 1) AS win FROM tok JOIN sizes ON tok.t = sizes.first),
 hit AS (SELECT spans.doc_id, spans.p, spans.k, wins.item FROM spans JOIN wins ON spans.win = wins.win),
 pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT doc_id, p, k FROM hit)) GROUP BY doc_id),
-its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id)
+its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id),
+freq AS (SELECT t, count(*) AS n FROM tok GROUP BY t),
+sets AS (SELECT DISTINCT win FROM wins WHERE len(win) = 8 AND len(list_distinct(win)) = 8),
+rare AS (SELECT win, arg_min(q.t, (n, k)) AS anchor FROM (SELECT win, unnest(win) AS t, unnest(range(0, 8)) AS k FROM sets) AS q JOIN freq ON q.t = freq.t GROUP BY win HAVING count(*) = 8),
+close AS (SELECT DISTINCT tok.doc_id, rare.win FROM tok JOIN rare ON tok.t = rare.anchor WHERE list_has_all(list_slice(tok.w, greatest(1, tok.p - 9), tok.p + 9), rare.win)),
+near AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM close JOIN wins ON close.win = wins.win GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(pos.n_hit, 0) AS n_hit, CAST(coalesce(len(its.items), 0) AS BIGINT) AS n_items,
-       sha256(coalesce(array_to_string(its.items, ','), '')) AS items_sha256, coalesce(len(its.items), 0) >= 2 AS contaminated
-FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
+       sha256(coalesce(array_to_string(its.items, ','), '')) AS items_sha256, coalesce(len(its.items), 0) >= 2 AS contaminated,
+       CAST(coalesce(len(near.items), 0) AS BIGINT) AS n_near, sha256(coalesce(array_to_string(near.items, ','), '')) AS near_sha256
+FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id LEFT JOIN near ON d.doc_id = near.doc_id""",
     "op2_chat_format": r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 c AS (SELECT conv_id, count(*) AS n, list(struct_pack(r := role, x := text) ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id),

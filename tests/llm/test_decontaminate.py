@@ -51,6 +51,7 @@ def test_equals_brute_force(spark):
 
 def test_shuffled_joins_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(op, "small", lambda df, *_: df)
+    monkeypatch.setattr(op, "BROADCAST_ROWS", 0)
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert rows_of(op.decontaminate(documents(spark, DOCS), items)) == brute(DOCS, ITEMS)
 
