@@ -2,12 +2,13 @@
 
 A page is read once into its blocks of text, each with its root-to-leaf path of block-level tags. For every path the text
 length, the number of text nodes, and the punctuation are added up; the fused score of a path is its mean text length times its
-punctuation ratio, smoothed over the neighbouring blocks in page order so that short headings inside an article are lifted by
-the paragraphs around them, times the share of its text outside links. Blocks above a threshold relative to the page are
+punctuation ratio, smoothed over the neighbouring blocks of the same part of the page so that short headings inside an article are
+lifted by the paragraphs around them, times the share of its text outside links. Parts are the children of the body. Blocks above a threshold relative to the page are
 content. What a path says by itself (navigation, header, footer, sidebar, form, script, an ``ad``- or ``comment``-like class)
 excludes it. An article element is a feature of the score: on a page that has one, blocks outside of all articles weigh less.
 
-Pages are independent rows, so there is no shuffle, and a partition is worked through batch by batch.
+Pages are independent rows, so there is no shuffle, and a partition is worked through batch by batch. Paths are numbers that are
+made from the number of the parent, so a page of very many unclosed tags takes time in proportion to its length.
 
 Defined results: a null html, or one without content, gives the empty text; character references are decoded; unclosed and
 wrongly nested tags are closed as browsers do for paragraphs and list items; text cut off inside a tag is dropped with the tag;
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,50 +48,86 @@ SPACES = re.compile(r"\s+")
 
 @dataclass
 class Block:
-    path: str
+    path: int
+    part: int
     article: int
     excluded: bool
     linked: int = 0
-    parts: list[str] = field(default_factory=list)
+    chars: list[str] = field(default_factory=list)
     text: str = ""
 
 
+@dataclass(frozen=True, slots=True)
+class Open:
+    """An open element, with what its place in the page says. depth: of block elements below the body."""
+
+    tag: str
+    excluded: bool = False
+    article: int = 0
+    path: int = 0
+    link: bool = False
+    part: int = 0
+    depth: int = 0
+
+
+PAGE = Open("")
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, with white space collapsed; empty ones are left out."""
-    stack: list[tuple[str, bool, int]] = []  # tag, excluded, article
+    stack: list[Open] = []
+    count: Counter[str] = Counter()  # open elements by tag
+    paths: dict[tuple[int, str], int] = {}
     out: list[Block] = []
     now: Block | None = None
-    at = articles = 0
+    at = articles = parts = 0
     low = None
 
     def text(s: str) -> None:
         nonlocal now
         if not s:
             return
-        excluded, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if now is not None and now.excluded != excluded:
+        top = stack[-1] if stack else PAGE
+        if now is not None and now.excluded != top.excluded:
             now = None
         if now is None:
             if not s.strip():
                 return
-            now = Block("/".join(t for t, _, _ in stack if t not in INLINE), article, excluded)
+            now = Block(top.path, top.part if top.depth > 1 else 0, top.article, top.excluded)
             out.append(now)
         s = entities.unescape(s) if "&" in s else s
-        if any(t == "a" for t, _, _ in stack):
+        if top.link:
             now.linked += len(s)
-        now.parts.append(s)
+        now.chars.append(s)
 
     def close(tag: str) -> None:
         nonlocal now
+        if not count[tag]:
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                if any(t not in INLINE for t, _, _ in stack[k:]):
+            if stack[k].tag == tag:
+                if any(x.tag not in INLINE for x in stack[k:]):
                     now = None
+                count.subtract(x.tag for x in stack[k:])
                 del stack[k:]
                 return
-            if tag in INLINE and stack[k][0] not in INLINE or tag not in BOUNDARY and stack[k][0] in BOUNDARY:
+            if tag in INLINE and stack[k].tag not in INLINE or tag not in BOUNDARY and stack[k].tag in BOUNDARY:
                 return
 
+    def push(tag: str, excluded: bool, article: int) -> None:
+        nonlocal parts
+        top = stack[-1] if stack else PAGE
+        path, part, depth = top.path, top.part, top.depth
+        if tag not in INLINE:
+            path = paths.setdefault((path, tag), len(paths) + 1)
+            if tag not in ("html", "body"):
+                depth += 1
+                if depth == 1:
+                    parts += 1
+                    part = parts
+        stack.append(Open(tag, excluded, article, path, top.link or tag == "a", part, depth))
+        count[tag] += 1
+
     while (m := TOKEN.search(page, at)) is not None:
         text(page[at : m.start()])
         at = m.end()
@@ -110,20 +147,20 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag == "br":
             if now is not None:
-                now.parts.append(" ")
+                now.chars.append(" ")
             continue
         if tag in VOID:
             if tag == "hr":
                 now = None
             continue
-        if tag in BREAKS_P and any(t == "p" for t, _, _ in stack):
+        if tag in BREAKS_P:
             close("p")
         for other in CLOSES.get(tag, ()):
-            if any(t == other for t, _, _ in stack):
-                close(other)
+            close(other)
         if tag not in INLINE:
             now = None
-        excluded, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        top = stack[-1] if stack else PAGE
+        excluded, article = top.excluded, top.article
         if tag == "article" and not article:
             articles += 1
             article = articles
@@ -132,10 +169,10 @@ def blocks_of(page: str) -> list[Block]:
             excluded = tag in EXCLUDED and not (tag == "header" and article) or bool(attributes) and (bool(HIDDEN.search(attributes)) or any(NOISE.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes)) and tag not in ("html", "body", "article", "main"))
             excluded = excluded or tag == "article" and any(COMMENT.search(a or b or c) for a, b, c in ATTRIBUTE.findall(attributes))
         if not attributes.rstrip().endswith("/") or tag in BOUNDARY:
-            stack.append((tag, excluded, article))
+            push(tag, excluded, article)
     text(page[at:])
     for b in out:
-        b.text = SPACES.sub(" ", "".join(b.parts)).strip()
+        b.text = SPACES.sub(" ", "".join(b.chars)).strip()
     return [b for b in out if b.text]
 
 
@@ -151,29 +188,33 @@ def path_scores(blocks: list[Block], smooth: int = 1) -> list[float]:
     own = [1 - links[b.path] / length[b.path] for b in blocks]
     fused = [length[b.path] / nodes[b.path] * (1 + marks[b.path]) / nodes[b.path] ** 0.5 * o for b, o in zip(blocks, own, strict=True)]
     weight = [1.0 if b.article or not any_article else OUTSIDE for b in blocks]
-    # links are not smoothed: a row of them beside paragraphs is no heading
-    return [w * o * sum(part := fused[max(0, i - smooth) : i + smooth + 1]) / len(part) for i, (o, w) in enumerate(zip(own, weight, strict=True))]
+    out = []
+    for i, (b, o, w) in enumerate(zip(blocks, own, weight, strict=True)):
+        near = [fused[j] for j in range(max(0, i - smooth), min(len(blocks), i + smooth + 1)) if blocks[j].part == b.part]
+        out.append(w * o * sum(near) / len(near))  # links are not smoothed: a row of them beside paragraphs is no heading
+    return out
 
 
-def main_text(page: str | None, threshold: float = 0.1) -> str:
-    """The content blocks of a page, one a line; threshold: least score of a block as a part of the page's mean score."""
+def main_text(page: str | None, threshold: float = 0.1, bare: float = 0.25) -> str:
+    """The content blocks of a page, one a line; threshold: least score of a block as a part of the page's mean score; bare: the same
+    for pages without article elements, where less tells a notice from a short paragraph."""
     if not page:
         return ""
     blocks = [b for b in blocks_of(page) if not b.excluded]
     if not blocks:
         return ""
     scores = path_scores(blocks)
-    least = threshold * sum(scores) / len(scores)
+    least = (threshold if any(b.article for b in blocks) else bare) * sum(scores) / len(scores)
     return "\n".join(b.text for b, s in zip(blocks, scores, strict=True) if s >= least)
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.1) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.1, bare: float = 0.25) -> DataFrame:
     """(key, url, text, n_chars) of every page."""
     kind = pages.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py(), threshold) for x in batch.column(2)]
+            texts = [main_text(x.as_py(), threshold, bare) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, url, "text", "n_chars"])
 
     return pages.select(key, url, html).mapInArrow(work, f"`{key}` {kind}, `{url}` string, text string, n_chars bigint")

@@ -64,3 +64,22 @@ def test_every_sibling_article_stays():
 
 def test_a_stub_article_does_not_hide_the_text_outside():
     assert op.main_text(f"<article><p>Stub.</p></article><div id='main'>{ARTICLE * 3}</div>").endswith("\n".join([TEXT] * 3))
+
+
+def test_scores_decide_without_article_elements_and_class_names(spark, sf_dir):
+    """Pages of the table without articles, then without any class or id too: the text must be that of the whole page."""
+    import re
+
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    for bare in (lambda x: x, lambda x: re.sub(r"""\s(?:class|id|role)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", x)):
+        same = sum(op.main_text(bare(re.sub(r"<(/?)article\b[^>]*>", r"<\1div>", x))) == op.main_text(x) for x in pages)
+        assert same >= 0.8 * len(pages), (same, len(pages))
+
+
+def test_many_unclosed_tags_take_time_in_proportion():
+    import time
+
+    began = time.monotonic()
+    for tag in ("div", "b", "p", "li", "span", "a", "ul"):
+        assert op.main_text(f"<{tag}>word, and more. " * 60_000 + "</p></li></div>")
+    assert time.monotonic() - began < 60
