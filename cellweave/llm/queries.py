@@ -98,7 +98,7 @@ c AS (SELECT conv_id, count(*) AS n, list(struct_pack(r := role, x := text) ORDE
 p AS (SELECT DISTINCT list_slice(turns, 1, k) AS pre FROM (SELECT turns, unnest(range(1, n)) AS k FROM c)),
 f AS (SELECT min(conv_id) AS conv_id FROM c WHERE turns NOT IN (SELECT pre FROM p) GROUP BY turns)
 SELECT c.conv_id, CAST(c.n AS BIGINT) AS n_turns,
-       list_aggregate(list_transform(c.turns, lambda u: '<|' || coalesce(u.r, '') || '|>' || chr(10) || coalesce(u.x, '')), 'string_agg', chr(10)) AS rendered
+       list_aggregate(list_transform(c.turns, lambda u: '<|' || replace(replace(coalesce(u.r, ''), '<|', '<\|'), '|>', '|\>') || '|>' || chr(10) || replace(replace(coalesce(u.x, ''), '<|', '<\|'), '|>', '|\>')), 'string_agg', chr(10)) AS rendered
 FROM c JOIN f ON c.conv_id = f.conv_id""",
     "op4_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
