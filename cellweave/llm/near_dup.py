@@ -9,9 +9,10 @@
    the full sets decide the others.
 4. Two members of a bucket that are not both linked to its pivot may still be linked to each other. Relative to the pivot a
    set is a bit mask over the pivot's shingles and the few shingles besides; on those the overlaps of all members of a star
-   are exact matrix products. A star is worked on in pairs of blocks of bounded size, of which one at least holds members that
-   are not linked to the pivot, and what leaves it is a spanning forest of its links: no pairs are stored, none of the links
-   between different components is lost.
+   are exact matrix products. The Jaccard distance is a metric, so members whose distances from the pivot differ by more than
+   a link's can't be linked: a star falls into layers of that width, and only members of neighbouring layers meet, in pairs of
+   blocks of bounded size. What leaves a pair of blocks is a spanning forest of its links: no pairs are stored, none of the links
+   between different components is lost. Members that are linked to the pivot never meet each other.
 5. Alternating large-star and small-star find the components; classes carry them back to all documents.
 
 Defined results: null texts, and texts without words, are linked with nothing; rows that repeat a doc_id with another text are
@@ -35,8 +36,8 @@ from .components import components
 BANDS, ROWS = 40, 6
 #: Estimates this many standard deviations below the threshold are refused without a look at the sets.
 DEVIATIONS = 6
-#: Members of a star that are compared with each other in one step.
-BLOCK = 2048
+#: Members of a layer of a star that are compared with others in one step.
+BLOCK = 1024
 
 
 def _sketch(width: int, bands: int, rows: int):
@@ -68,6 +69,12 @@ def _linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
+def _hopeful(a: bytes, b: bytes, least: float) -> bool:
+    """Whether the share of equal signature bytes leaves a similarity of ``least`` possible."""
+    same = (np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean()
+    return (same - 1 / 256) / (1 - 1 / 256) >= least - DEVIATIONS * (least * (1 - least) / len(a)) ** 0.5
+
+
 def _verify(width: int, percent: int):
     """(pivot, member, texts, signatures) to the member's encoding relative to the pivot, and whether they are linked."""
 
@@ -83,19 +90,17 @@ def _verify(width: int, percent: int):
                 own = shingles.shingle_set(xt[i].as_py(), width)
                 mask = np.isin(pivot, own, assume_unique=True)
                 beside = own[~np.isin(own, pivot, assume_unique=True)]
-                a, b = np.frombuffer(ps[i].as_py(), np.uint8), np.frombuffer(xs[i].as_py(), np.uint8)
-                t = percent / 100
-                estimate = ((a == b).mean() - 1 / 256) / (1 - 1 / 256)
-                hopeful = estimate >= t - DEVIATIONS * (t * (1 - t) / len(a)) ** 0.5
-                out.append((pid, x[i].as_py(), len(own), len(pivot), bool(hopeful and _linked(int(mask.sum()), len(own), len(pivot), percent)), np.packbits(mask).tobytes(), beside.tobytes()))
+                hopeful = not (ps[i].is_valid and xs[i].is_valid) or _hopeful(ps[i].as_py(), xs[i].as_py(), percent / 100)
+                common = int(mask.sum())
+                out.append((pid, x[i].as_py(), len(own), len(pivot), common, bool(hopeful and _linked(common, len(own), len(pivot), percent)), np.packbits(mask).tobytes(), beside.tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(STAR, r, strict=True)) for r in out], schema=STAR_ARROW)
 
     return work
 
 
-STAR = ("p", "x", "n", "pn", "linked", "mask", "beside")
-STAR_SQL = "p bigint, x bigint, n bigint, pn bigint, linked boolean, mask binary, beside binary"
-STAR_ARROW = pa.schema([("p", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("pn", pa.int64()), ("linked", pa.bool_()), ("mask", pa.binary()), ("beside", pa.binary())])
+STAR = ("p", "x", "n", "pn", "common", "linked", "mask", "beside")
+STAR_SQL = "p bigint, x bigint, n bigint, pn bigint, common bigint, linked boolean, mask binary, beside binary"
+STAR_ARROW = pa.schema([("p", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("pn", pa.int64()), ("common", pa.int64()), ("linked", pa.bool_()), ("mask", pa.binary()), ("beside", pa.binary())])
 
 
 def star_links(ids: np.ndarray, n: np.ndarray, pn: int, linked: np.ndarray, masks: list[bytes], beside: list[bytes], percent: int) -> list[tuple[int, int]]:
@@ -140,21 +145,21 @@ def star_links(ids: np.ndarray, n: np.ndarray, pn: int, linked: np.ndarray, mask
 
 
 def _stars(percent: int):
-    """Rows sorted by (p, i, j), one group after the other; a group has two blocks at most and so a bounded size."""
+    """Rows sorted by (p, g), one group after the other; a group has two blocks at most and so a bounded size."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
 
         def done() -> list[tuple[int, int]]:
-            if len(held) < 2 or all(h[2] for h in held):
+            if len(held) < 2 or all(h[3] for h in held):
                 return []
             by_pivot: dict[int, list[tuple]] = {}
             for h in held:  # a pivot id that stands for several texts has masks of several lengths
                 by_pivot.setdefault(h[1], []).append(h)
             found: list[tuple[int, int]] = []
             for pn, g in by_pivot.items():
-                found += star_links(np.array([h[0] for h in g]), np.array([h[3] for h in g]), pn, np.array([h[2] for h in g]), [h[4] for h in g], [h[5] for h in g], percent)
+                found += star_links(np.array([h[0] for h in g]), np.array([h[2] for h in g]), pn, np.array([h[3] for h in g]), [h[4] for h in g], [h[5] for h in g], percent)
             return found
 
         def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -162,29 +167,51 @@ def _stars(percent: int):
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:3] != key:
+                if r[:2] != key:
                     if links := done():
                         yield batch_of(links)
-                    held, key = [], r[:3]
-                held.append((r[3], r[4], r[5], r[6], r[7], r[8]))
+                    held, key = [], r[:2]
+                _, _, x, pn, linked, n, mask, beside = r
+                held.append((x, pn, n, linked, mask, beside))
         if links := done():
             yield batch_of(links)
 
     return work
 
 
-def _pairs_of_blocks() -> Column:
-    """The pairs of blocks that a member belongs to: ``a`` blocks of members that are not linked to the pivot, then ``c`` of linked ones.
+def _layer(percent: int) -> Column:
+    """How many whole link distances (100 - percent hundredths) a member's Jaccard distance from the pivot has; 0 for linked ones.
+
+    The Jaccard distance is a metric: members whose distances from the pivot differ by more than a link distance can't be linked.
+    So members meet those of their own layer and of the next ones only. In integers: layer k has k * step <= distance < (k + 1) * step.
+    """
+    union = F.col("n") + F.col("pn") - F.col("common")
+    # a distance of exactly one step is a link, so it belongs to layer 0, and so on: ceil(distance / step) - 1
+    steps = F.ceil(100 * (union - F.col("common")) / ((100 - percent) * union)).cast("int") - 1 if percent < 100 else F.lit(1)
+    return F.when(F.col("linked"), 0).otherwise(F.greatest(F.lit(1), steps))
+
+
+def _meetings() -> Column:
+    """The pairs of blocks that a member belongs to, as (layer, block) twice; ``blocks`` has the number of blocks of each layer of its star.
 
-    A loose block meets every block; linked members are linked through the pivot, so their blocks never meet each other.
+    A block meets every block of its own layer and of the two beside; linked members are linked through the pivot, so blocks of
+    layer 0 meet those of layer 1 alone.
     """
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    a, c = F.col("a"), F.col("c")
-    own = F.pmod("h", F.when(F.col("linked"), c).otherwise(a)).cast("int")
-    loose = F.filter(F.transform(up_to(a), lambda o: pair(F.least(own, o), F.greatest(own, o))), lambda x: (x["i"] != x["j"]) | (c == 0))
-    across = F.transform(up_to(c), lambda o: pair(own, a + o))
-    return F.when(F.col("linked"), F.transform(up_to(a), lambda o: pair(o, a + own))).otherwise(F.concat(loose, across))
+    count = lambda k: F.coalesce(F.try_element_at("blocks", k), F.lit(0))
+    pair = lambda i, a, j, b: F.struct(i.alias("i"), a.alias("a"), j.alias("j"), b.alias("b"))
+    k = F.col("layer")
+    own = F.pmod("h", count(k)).cast("int")
+    same = F.transform(up_to(count(k)), lambda o: pair(k, F.least(own, o), k, F.greatest(own, o)))
+    above = F.transform(up_to(count(k + 1)), lambda o: pair(k, own, k + 1, o))
+    below = F.transform(up_to(count(k - 1)), lambda o: pair(k - 1, o, k, own))
+    # a block that meets others meets itself on the way, unless it is the only one of its layers
+    alone = F.size(F.concat(above, F.when(k > 0, below).otherwise(F.array().cast(BLOCK_PAIRS)))) == 0
+    inner = F.filter(same, lambda x: (x["a"] != x["b"]) | alone)
+    return F.when(k == 0, above).otherwise(F.concat(F.when((count(k) > 1) | alone, inner).otherwise(F.array().cast(BLOCK_PAIRS)), above, below))
+
+
+BLOCK_PAIRS = "array<struct<i:int,a:int,j:int,b:int>>"
 
 
 def near_duplicate_links(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame:
@@ -201,7 +228,7 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, width: int, perce
     used = pairs.select(F.explode(F.array("p", "x")).alias("id")).distinct()
     wanted = small(used, 2 * pairs.count(), 1_000_000)
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(wanted, "id", "left_semi")
-    signs = sketches.where("set_key is not null").select(F.col("doc_id").alias("id"), "signature").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("signature").alias("s"))
+    signs = sketches.where("set_key is not null").select(F.col("doc_id").alias("id"), "set_key", "signature").join(wanted, "id", "left_semi").groupBy("id").agg(F.when(F.min("set_key") == F.max("set_key"), F.first("signature")).alias("s"))  # none for an id with several texts
     texts = texts.groupBy("id", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t")).select("id", "t").join(signs, "id")
     member = texts.select(F.col("id").alias("x"), F.col("t").alias("xt"), F.col("s").alias("xs"))
     pivot = texts.select(F.col("id").alias("p"), F.col("t").alias("pt"), F.col("s").alias("ps"))
@@ -214,14 +241,14 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, width: int, perce
     full = dealt.join(member, "x").join(pivot, ["p", "part"]).select("p", "x", "pt", "xt", "ps", "xs")
     star = stored(full.mapInArrow(_verify(width, percent), STAR_SQL), "stars")
     direct = star.where("linked").select(F.col("p").alias("u"), F.col("x").alias("v"))
-    loose = F.sum(F.when(F.col("linked"), 0).otherwise(1))
-    sizes = star.groupBy("p").agg(F.count("*").alias("m"), loose.alias("loose")).where("m > 1 and loose > 0")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sized = sizes.select("p", blocks(F.col("loose")).alias("a"), blocks(F.col("m") - F.col("loose")).alias("c"))
-    dealt = star.join(small(sized, sizes.count()), "p").withColumn("h", F.xxhash64("x")).withColumn("at", F.explode(_pairs_of_blocks()))
-    dealt = dealt.select("p", "at.i", "at.j", "x", "pn", "linked", "n", "mask", "beside")
+    layered = star.withColumn("layer", _layer(percent))
+    layers = layered.groupBy("p", "layer").agg(F.count("*").alias("m"))
+    sized = layers.groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("layer", F.ceil(F.col("m") / BLOCK).cast("int")))).alias("blocks"), F.sum("m").alias("m"), F.max("layer").alias("top"))
+    sized = sized.where("m > 1 and top > 0").select("p", "blocks")
+    dealt = layered.join(small(sized, sized.count()), "p").withColumn("h", F.xxhash64("x")).withColumn("at", F.explode(_meetings()))
+    dealt = dealt.select("p", F.struct("at.i", "at.a", "at.j", "at.b").alias("g"), "x", "pn", "linked", "n", "mask", "beside")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cross = dealt.repartition(n, "p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_stars(percent), "u bigint, v bigint")
+    cross = dealt.repartition(n, "p", "g").sortWithinPartitions("p", "g").mapInArrow(_stars(percent), "u bigint, v bigint")
     return direct.union(cross)
 
 

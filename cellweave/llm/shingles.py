@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import xxhash
 
-#: Universal hashing of 32-bit values: the high half of a * x + b modulo 2 ** 64.
+#: Seed of the hash functions: x -> a * x + b modulo 2 ** 32 with an odd a, whose high half is then mixed into its low half.
 _SEED = 20240229
 
 

@@ -80,3 +80,27 @@ def test_a_text_of_exactly_one_shingle_has_the_hash_of_that_shingle():
 
     assert shingle_set("a a a a", 4).tolist() == shingle_set("a a a a a", 4).tolist()
     assert shingle_set("a b c d", 4)[0] in shingle_set("a b c d e", 4) and len(shingle_set("a b c", 4)) == 1
+
+
+def test_ids_with_several_texts_lose_no_link(spark):
+    """One id with two texts that have nothing in common: whatever signature is met first, both texts' links must be found."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(500)}"
+    docs = []
+    for k in range(12):
+        a, b = [word() for _ in range(60)], [word() for _ in range(60)]
+        docs += [(10 * k + 1, " ".join(a)), (10 * k + 1, " ".join(b)), (10 * k + 2, " ".join([*a, word()])), (10 * k + 3, " ".join([*b, word()]))]
+    rng.shuffle(docs)
+    assert rows_of(op.near_duplicates(documents(spark, docs))) == brute(docs)
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_layers_of_a_star_lose_no_link(spark, monkeypatch, percent):
+    monkeypatch.setattr(op, "BLOCK", 7)
+    docs = list(enumerate(drifting(random.Random(percent), 1, 110, 50)))
+    assert rows_of(op.near_duplicates(documents(spark, docs), percent=percent)) == brute(docs, percent=percent)
+
+
+def test_recall_on_a_larger_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert rows_of(op.near_duplicates(df)) == brute([(r["doc_id"], r["text"]) for r in df.collect()])
