@@ -40,9 +40,24 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows written to the shared folder and read again: the lineage ends there, and lost executors cost no recomputation."""
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows written to the shared folder and read again, and where they are."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared folder and read again: the lineage ends there, and lost executors cost no recomputation.
+
+    What a result still reads can't be removed here; such folders go with the job's folder in spark.checkpoint.dir.
+    """
+    return stored_at(df, label)[0]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes stored rows that nothing reads any more."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

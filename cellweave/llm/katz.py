@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored, stored_at
 
 SMALL = 5
 HOT_PARTS = 2000
@@ -69,9 +69,10 @@ def _unzip_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(_unzip(b, np.uint64), dtype=np.uint64)
 
 
-def _cut(part: np.ndarray, parts: int) -> np.ndarray:
-    """Borders of the slices of a sorted array of part numbers."""
-    return np.searchsorted(part, np.arange(parts + 1))
+def _cut(part: np.ndarray) -> dict[int, slice]:
+    """The slices of a sorted array of part numbers, of the parts that occur: work goes with the keys, not with the number of parts."""
+    kinds, first = np.unique(part, return_index=True)
+    return {p: slice(i, j) for p, i, j in zip(kinds.tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True)}
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -191,8 +192,7 @@ def _ask_words(parts: int):
                 words, counts = np.frombuffer(batch.column(1)[i].as_py(), np.uint64), _unzip(batch.column(2)[i].as_py(), np.uint32)
                 order = np.argsort(words)
                 words, counts = words[order], counts[order]
-                at = _cut(_part(words, parts), parts)
-                rows = [(batch.column(0)[i].as_py(), p, 0, _zip_sorted(words[at[p] : at[p + 1]]), _zip(counts[at[p] : at[p + 1]]), None) for p in range(parts) if at[p] < at[p + 1]]
+                rows = [(batch.column(0)[i].as_py(), p, 0, _zip_sorted(words[at]), _zip(counts[at]), None) for p, at in _cut(_part(words, parts)).items()]
                 yield from _table(rows, CELL).to_batches()
 
     return work
@@ -239,11 +239,11 @@ class Pairs:
         order = np.lexsort((wh, hh, part))
         self.order, self.h, self.w, self.part = order, h[order], w[order], part[order]
         self.hot = dealt[order] > 1
-        self.at = _cut(self.part, parts)
+        self.at = _cut(self.part)
 
     def cell(self, p: int) -> tuple[slice, np.ndarray]:
         """The pairs of a partition, and where their histories begin."""
-        s = slice(self.at[p], self.at[p + 1])
+        s = self.at[p]
         h = self.h[s]
         return s, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
 
@@ -260,10 +260,8 @@ def _ask_pairs(parts: int, hot: int, starts: int):
         train = np.repeat(~x.held, x.sizes)
         times = np.bincount(x.back, weights=train)[x.order].astype(np.uint32)
         rows = []
-        for p in range(parts):
+        for p in x.at:
             s, begins = x.cell(p)
-            if s.start == s.stop:
-                continue
             h, w = x.h[s], x.w[s]
             second = (x.hashes[w] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
             rows.append((left["block"][0].as_py(), p, _zip_sorted(x.hashes[h[begins]]), _zip(x.hot[s][begins].astype(np.uint8)), _zip(np.diff(np.append(begins, len(h))).astype(np.uint32)), second, _zip(x.count[w].astype(np.uint32)), _zip(times[s])))
@@ -364,11 +362,22 @@ def _score(words: Words, pairs: Level, hot_rows: dict[int, tuple[list[int], floa
 
 
 def katz_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", block_tokens: int = 2_000_000) -> DataFrame:
-    """Scores every document with the model of the rows that are not held out; held_out: a boolean column of ``docs``."""
+    """Scores every document with the model of the rows that are not held out; held_out: a boolean column of ``docs``.
+
+    The scores are written to the shared folder; the model's tables, several times the input, are dropped before it returns.
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).cast("string").alias("text"))
     name = f"katz_blocks_{uuid.uuid4().hex}"
+    try:
+        return _scored(own, name, n, block_tokens)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+
+
+def _scored(own: DataFrame, name: str, n: int, block_tokens: int) -> DataFrame:
+    spark = own.sparkSession
     own.mapInArrow(_blocks(block_tokens), BLOCK_SQL).write.bucketBy(n, "block").option("compression", "none").saveAsTable(name)
     blocks = spark.table(name)
     sums = blocks.agg(F.sum("n_words"), F.sum("train_tokens"), F.sum("train_docs"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()
@@ -378,7 +387,7 @@ def katz_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
 
     parts = -(-keys // CELL_KEYS)
     asked = blocks.select("block", "words", "counts").mapInArrow(_ask_words(parts), CELL_SQL)
-    counted = stored(asked.groupBy("part").applyInArrow(_count_words, CELL_SQL), "katz-words")
+    counted, counted_at = stored_at(asked.groupBy("part").applyInArrow(_count_words, CELL_SQL), "katz-words")
     numbers = _added(counted.where("kind = 1"))
     words = Words(numbers[0], numbers[1], numbers[2:])
 
@@ -386,7 +395,7 @@ def katz_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     word_cells = counted.where("kind = 0")
     whole = blocks.select(*(f.name for f in BLOCK))
     pairs_asked = whole.groupBy("block").cogroup(word_cells.select("block", "part", "a").groupBy("block")).applyInArrow(_ask_pairs(parts, hot, starts), ASK_SQL)
-    pairs = stored(pairs_asked.groupBy("part").applyInArrow(_count_pairs(words), CELL_SQL), "katz-pairs")
+    pairs, pairs_at = stored_at(pairs_asked.groupBy("part").applyInArrow(_count_pairs(words), CELL_SQL), "katz-pairs")
     level = Level(_added(pairs.where("kind = 3")))
     hot_parts = pairs.where("kind = 4").select("a", "part", "numbers", "b").collect()  # at most HOT_PARTS histories in all their parts
     hot_rows: dict[int, tuple[list[int], float]] = {}
@@ -395,7 +404,9 @@ def katz_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
         before = hot_rows.get(key, ([0] * SMALL, 0.0))
         hot_rows[key] = ([x + y for x, y in zip(before[0], r["numbers"], strict=True)], before[1] + float(np.frombuffer(bytes(r["b"]), np.float64)[0]))
     cells = word_cells.union(pairs.where("kind = 2")).select("block", "part", "kind", "a", "b")
-    return whole.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(_score(words, level, hot_rows, parts, hot, starts), SCORE_SQL)
+    out = stored(whole.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(_score(words, level, hot_rows, parts, hot, starts), SCORE_SQL), "katz-scores")
+    discard(spark, counted_at, pairs_at)
+    return out
 
 
 def _added(rows: DataFrame) -> list[int]:
