@@ -39,7 +39,7 @@ def compare(spark, d):
     rows = pairs(clean)
     assert rows == pairs(kept)
     best = {}
-    groups = {r[0]: r[3] for r in test_near_dup.brute(rows)}
+    groups = {r[0]: r[3] for r in test_near_dup.brute(rows, width=5)}
     for i, t in rows:
         if i is None or groups[i]:
             best.setdefault(i, []).append(t)
