@@ -113,7 +113,7 @@ b AS (SELECT doc_id, n, (10 * len(regexp_extract_all(x, '[#*$%&|<>]')) > c)
         OR (k >= 3 AND 2 * len(regexp_extract_all(x, '!!')) > k)
         OR (len(regexp_extract_all(x, ' \| ')) >= 3) OR (k >= 4 AND 2 * len(regexp_extract_all(x, '[»›•|]')) > k)
         OR (k BETWEEN 1 AND 3 AND NOT regexp_matches(words[k], '[.!?…:;。！？]['')"”’»\]]*$'))
-        OR (k >= 10 AND 4 * len(list_filter(range(2, k + 1), lambda i: list_contains(list_slice(words, greatest(1, i - 8), i - 1), words[i]))) > 3 * k)
+        OR (k >= 10 AND CASE WHEN 4 * len(list_distinct(words)) < k THEN 4 * len(list_filter(range(2, k + 1), lambda i: list_contains(list_slice(words, greatest(1, i - 8), i - 1), words[i]))) > 3 * k ELSE false END)
         OR regexp_matches(x, '(?i)(licensed under the|all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|copyright \(c\)|subscribe to our newsletter)') AS bad FROM f),
 s AS (SELECT doc_id, sum(n) AS whole, sum(CASE WHEN bad THEN 0 ELSE n END) AS rest, count(*) FILTER (WHERE bad) AS n_lines_removed FROM b GROUP BY doc_id),
 o AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
