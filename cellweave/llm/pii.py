@@ -1,10 +1,10 @@
 """Format-preserving pseudonyms for personal data, with built-in functions only.
 
-One regular expression finds candidates; a validator for each kind decides. Payment numbers (Luhn), phone numbers, social
-security numbers, IPv4 addresses and dates are permuted by a keyed alternating Feistel network inside their own format: the
-result is again a valid value of the same kind, and since the permutation is keyed but not salted, equal values stay linked
+One regular expression finds candidates; a validator for each kind decides. Payment numbers (Luhn, and first digits and length of a
+card network), phone numbers, social security numbers, IPv4 addresses and dates are permuted by a keyed alternating Feistel network
+inside their own format: the result is again a valid value of the same kind (a card keeps its first four digits), and since the permutation is keyed but not salted, equal values stay linked
 across documents. E-mail addresses and secrets (hex or base-62 strings after a key-like name, and access keys) get a keyed digest in their form.
-Candidates that fail validation (numbers with a wrong check digit, impossible dates) are left as they are.
+Candidates that fail validation (numbers with a wrong check digit or of no card network, impossible dates) are left as they are.
 
 The key is a parameter or the session's setting ``spark.cellweave.pii.key``; without either the operator refuses to work, since
 whoever has the key can undo the pseudonyms. Spark shows literals in plans: cover the key with ``spark.redaction.string.regex``.
@@ -34,6 +34,21 @@ SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<!\w)\+\d{1,3} ?\(\d{2,4}\) ?\d{3,4}[ -]?\d{3,4}(?![\w-]|\.\d)|(?<!\w)\+\d{1,3}(?:[ -]\d{1,4}){2,5}(?![\w-]|\.\d)|(?<!\w)\+\d{8,15}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])"
 #: One run of digits, groups of four, or 4-6-5; a number beside a card number is none of its groups.
 CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})(?![\w-])"
+#: First four digits and lengths of the numbers that card networks issue (ISO/IEC 7812). One random number in ten has a
+#: right Luhn digit, so that digit alone proves little.
+NETWORKS = (
+    (r"1\d\d\d", (15,)),  # UATP
+    (r"220[0-4]", (16, 17, 18, 19)),  # Mir
+    (r"222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720|5[1-5]\d\d", (16,)),  # Mastercard
+    (r"3[47]\d\d", (15,)),  # American Express
+    (r"30[0-5]\d|3095|36\d\d|3[89]\d\d", (14, 15, 16, 17, 18, 19)),  # Diners Club
+    (r"352[89]|35[3-8]\d", (16, 17, 18, 19)),  # JCB
+    (r"4\d\d\d", (13, 16, 19)),  # Visa
+    (r"50\d\d|5[6-8]\d\d|6\d\d\d", (13, 14, 15, 16, 17, 18, 19)),  # Maestro, Discover, UnionPay, RuPay
+    (r"8[12]\d\d|8600|9792|9860", (16, 17, 18, 19)),  # UnionPay, RuPay, Uzcard, Troy, Humo
+)
+HEAD = 4
+ISSUED = "^(?:" + "|".join(rf"(?:{head})\d{{{n - HEAD}}}" for head, lengths in NETWORKS for n in lengths) + ")$"
 ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
 ANY = "|".join((EMAIL, SECRET, ACCESS_KEY, IP, DATE, SSN, PHONE, CARD))
 
@@ -103,6 +118,11 @@ def luhn_valid(x: Column) -> Column:
     return F.right(d, F.lit(1)) == _check_digit(F.substring(d, F.lit(1), F.length(d) - 1))
 
 
+def card_valid(x: Column) -> Column:
+    """Issued by a card network, and with a right check digit."""
+    return _only_digits(x).rlike(ISSUED) & luhn_valid(x)
+
+
 def _refill(shape: Column, digits: Column) -> Column:
     """The digits put into the places that digits have in ``shape``."""
     zero = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
@@ -111,8 +131,9 @@ def _refill(shape: Column, digits: Column) -> Column:
 
 
 def mask_card(x: Column, key: str, inverse: bool = False) -> Column:
+    """Keeps the first four digits, which with the length name the network, permutes the others and sets the check digit anew."""
     d = _only_digits(x)
-    body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", inverse)
+    body = F.concat(F.substring(d, 1, HEAD), permute_digits(F.substring(d, F.lit(HEAD + 1), F.length(d) - HEAD - 1), key, "card", inverse))
     return F.transform(F.array(body), lambda b: _refill(x, F.concat(b, _check_digit(b))))[0]
 
 
@@ -205,7 +226,7 @@ def kind_of(x: Column) -> Column:
         .when(whole(DATE), F.when(_date_valid(x), "date"))
         .when(whole(SSN), F.when(~x.rlike("^(000|666|9)|-00-|-0000$"), "ssn"))
         .when(whole(PHONE) & (n >= 8) & (n <= 15), "phone")
-        .when(whole(CARD), F.when(luhn_valid(x), "card"))
+        .when(whole(CARD), F.when(card_valid(x), "card"))
         .when(x.rlike("[A-Za-z_]") & (F.length(x) >= 16), "secret")
     )
 

@@ -91,6 +91,22 @@ def test_social_security_numbers_stay_valid_and_distinct(spark):
     assert not [r["m"] for r in rows if not re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", r["m"])]
 
 
+def test_cards_stay_with_their_network_and_other_numbers_stay_as_they_are(spark):
+    rng = random.Random(7)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    heads = [("4", 13), ("4", 16), ("4", 19), ("51", 16), ("55", 16), ("2221", 16), ("2720", 16), ("2204", 16), ("34", 15), ("37", 15), ("6011", 16), ("65", 19), ("36", 14), ("3095", 16), ("3528", 16), ("3589", 16), ("62", 17), ("5018", 13), ("9792", 16), ("1354", 15)]
+    cards = [luhn_fixed(h + digits(n - len(h))) for h, n in heads for _ in range(20)]
+    others = [luhn_fixed(h + digits(n - len(h))) for h, n in [("0", 16), ("1", 16), ("2205", 16), ("2721", 16), ("31", 16), ("3590", 16), ("4", 15), ("51", 17), ("7", 16), ("83", 16), ("99", 16), ("34", 16)] for _ in range(20)]
+    rows = masked(documents(spark, list(enumerate(cards + others)))).orderBy("doc_id").collect()
+    for r, card in zip(rows, cards, strict=False):
+        assert list(r["kinds"]) == ["card"] and r["text"] != card and r["text"][:4] == card[:4] and len(r["text"]) == len(card) and luhn(r["text"])
+    assert [r["text"] for r in rows[len(cards) :]] == others
+    again = masked(documents(spark, [(r["doc_id"], r["text"]) for r in rows[: len(cards)]])).collect()
+    assert all(list(r["kinds"]) == ["card"] for r in again)
+    back = spark.createDataFrame([(c,) for c in cards], "c string").select("c", op.mask_card(op.mask_card(F.col("c"), "k"), "k", True).alias("b"))
+    assert all(r["b"] == r["c"] for r in back.collect())
+
+
 def test_old_and_far_dates_are_permuted(spark):
     days = ["0001-01-01", "1066-10-14", "1899-12-31", "1900-01-01", "2099-11-12", "2099-11-13", "2525-03-12", "9996-06-01"]
     rows = spark.createDataFrame([(x,) for x in days], "d string").select("d", op.mask_date(F.col("d"), "k").alias("m")).withColumn("back", op.mask_date(F.col("m"), "k", True)).collect()
