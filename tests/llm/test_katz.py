@@ -125,6 +125,16 @@ def test_pairs_predict_better_than_words(spark):
     assert sum(r["score"] for r in rows) > 0.5 * sum(r["base_score"] for r in rows)
 
 
+def test_held_out_copies_of_training_texts_score_above_new_texts(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(rng.randrange(60, 200)))
+    train = [text() for _ in range(200)]
+    held = [(1000 + i, train[i]) for i in range(40)] + [(2000 + i, text()) for i in range(40)]
+    rows = op.katz_scores(documents(spark, list(enumerate(train)) + held), F.col("doc_id") >= 1000).where("held_out").collect()
+    each = {r["doc_id"]: r["score"] / r["n_tokens"] for r in rows}
+    assert min(each[1000 + i] for i in range(40)) > max(each[2000 + i] for i in range(40))
+
+
 def test_no_training_rows_and_no_rows(spark):
     docs = documents(spark, [(1, "a b"), (2, None)])
     rows = op.katz_scores(docs, F.lit(True)).collect()
