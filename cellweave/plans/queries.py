@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from ..functions import codec, hashing, hlc
 from ..operators import compaction, mutations, replay, resolve, versions
@@ -299,8 +300,11 @@ def q_text_bytes(spark, d):
 
 def q_hlc(spark, d):
     e = _table(spark, d, "events")
-    minute = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000) * 3_600_000
-    clock = hlc.timestamps(hlc.pack(minute), F.col("event_id"), partition=F.col("user_id"))
+    millis = hlc.epoch_millis(F.col("ts"), isinstance(e.schema["ts"].dataType, TimestampType))
+    candidate = hlc.pack(millis - millis % 3_600_000)  # the hour, towards 1970
+    e = e.select("event_id", "user_id", candidate.alias("candidate"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    order = [F.col("event_id").asc_nulls_last(), F.col("file"), F.col("row")]  # of rows with one event_id, the table's
+    clock = hlc.timestamps(F.col("candidate"), order, partition=F.col("user_id"))
     return e.select("event_id", clock.alias("hlc_ts"))
 
 
