@@ -41,6 +41,7 @@ from .common import discard, stored, stored_at
 SMALL = 5
 HOT_PARTS = 2000
 CELL_KEYS = 1_000_000
+SLICE = 1 << 18
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n</s>", b"\n<s>"))
 
 
@@ -71,8 +72,8 @@ def _unzip_sorted(b: bytes) -> np.ndarray:
 
 def _cut(part: np.ndarray) -> dict[int, slice]:
     """The slices of a sorted array of part numbers, of the parts that occur: work goes with the keys, not with the number of parts."""
-    kinds, first = np.unique(part, return_index=True)
-    return {p: slice(i, j) for p, i, j in zip(kinds.tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True)}
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return {p: slice(i, j) for p, i, j in zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True)}
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -217,29 +218,49 @@ def _count_words(cells: pa.Table) -> pa.Table:
 
 
 class Pairs:
-    """The distinct (history, word) pairs of a block in the order in which the pair partitions see them."""
+    """The distinct (history, word) pairs of a block in the order in which the pair partitions see them.
+
+    A worker's memory is largest here, so places are 32-bit numbers (a text is below 2 GB, and a block ends with the text that
+    fills it), and arrays go as soon as nothing needs them.
+    """
 
     def __init__(self, block: dict, word_cells: list[tuple[int, bytes]], parts: int, hot: int):
         words = np.frombuffer(block["words"], np.uint64)
-        self.tokens, self.sizes = _unzip(block["tokens"], np.uint32).astype(np.int64), np.array(block["sizes"], np.int64)
+        self.tokens, self.sizes = _unzip(block["tokens"], np.uint32).view(np.int32), np.array(block["sizes"], np.int64)
         self.held = np.array(block["held"], bool)
         self.count = np.empty(len(words), np.int64)
         self.count[np.argsort(words)] = np.concatenate([_unzip(b, np.int64) for _, b in sorted(word_cells)])
         self.hashes = np.concatenate([words, [START]])
-        n, first = len(words), np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        history = np.concatenate([[n], self.tokens[:-1]])
-        history[first] = n
-        self.history, self.n = history, n
-        key, self.back = np.unique(history * n + self.tokens, return_inverse=True)
-        h, w = key // n, key % n
+        self.n = n = len(words)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        key = np.empty(len(self.tokens), np.int64)
+        key[1:] = self.tokens[:-1]
+        key[self.first] = n
+        key *= n
+        key += self.tokens
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        self.back = np.empty(len(key), np.int32)
+        self.back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del order
+        key = key[new]
+        h, w = (key // n).astype(np.int32), (key % n).astype(np.int32)
+        del key, new
         self.history_count = np.concatenate([self.count, [block["starts"]]])
+        dealt = np.maximum(1, -(-self.history_count // hot)).astype(np.uint64)
         hh, wh = self.hashes[h], self.hashes[w]
-        dealt = np.maximum(1, -(-self.history_count[h] // hot)).astype(np.uint64)
-        part = _part((hh + (wh % dealt) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93), parts)
+        mixed = wh % dealt[h]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed += hh
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        part = _part(mixed, parts).astype(np.int32)
+        del mixed
         order = np.lexsort((wh, hh, part))
-        self.order, self.h, self.w, self.part = order, h[order], w[order], part[order]
-        self.hot = dealt[order] > 1
-        self.at = _cut(self.part)
+        del hh, wh
+        self.order, self.h, self.w = order.astype(np.int32), h[order], w[order]
+        self.hot = (dealt > 1)[self.h]
+        self.at = _cut(part[order])
 
     def cell(self, p: int) -> tuple[slice, np.ndarray]:
         """The pairs of a partition, and where their histories begin."""
@@ -258,7 +279,7 @@ def _ask_pairs(parts: int, hot: int, starts: int):
             return _table([], ASK)
         x = Pairs(_block_of(left, starts), list(zip(right["part"].to_pylist(), right["a"].to_pylist(), strict=True)), parts, hot)
         train = np.repeat(~x.held, x.sizes)
-        times = np.bincount(x.back, weights=train)[x.order].astype(np.uint32)
+        times = np.bincount(x.back[train], minlength=len(x.order)).astype(np.uint32)[x.order]
         rows = []
         for p in x.at:
             s, begins = x.cell(p)
@@ -335,7 +356,7 @@ def _score(words: Words, pairs: Level, hot_rows: dict[int, tuple[list[int], floa
         block = _block_of(left, starts)
         x = Pairs(block, [(p, a) for k, (p, a, _) in zip(kinds, cells, strict=True) if k == 0], parts, hot)
         by_count, mass = np.zeros((x.n + 1, SMALL), np.int64), np.zeros(x.n + 1)
-        total = np.zeros(len(x.order), np.int64)
+        total = np.zeros(len(x.order), np.uint32)
         for k, (p, a, b) in zip(kinds, cells, strict=True):
             if k != 2:
                 continue
@@ -349,12 +370,14 @@ def _score(words: Words, pairs: Level, hot_rows: dict[int, tuple[list[int], floa
         factor, left_mass = pairs.kept(x.history_count, by_count)
         low = words.p(x.count)
         back = np.where(x.history_count > 0, left_mass / np.maximum(1 - mass, 1e-300), 1.0)
-        in_order = np.where(total > 0, factor[x.h] * pairs.mass(total) / np.maximum(x.history_count[x.h], 1), back[x.h] * low[x.w])
-        p = np.empty(len(x.order))
-        p[x.order] = in_order
-        first = np.concatenate([[0], np.cumsum(x.sizes)[:-1]]).astype(np.int64)
         base = np.log10((x.count + 1.0) / (words.total + 1.0 * (words.kinds + 1)))
-        sums = [np.add.reduceat(v, first) for v in ((x.count[x.tokens] > 0).astype(np.int64), base[x.tokens], np.log10(p)[x.back])]
+        p = np.empty(len(x.order))
+        for i in range(0, len(p), SLICE):
+            s = slice(i, i + SLICE)
+            h, c = x.h[s], total[s]
+            p[x.order[s]] = np.where(c > 0, factor[h] * pairs.mass(c) / np.maximum(x.history_count[h], 1), back[h] * low[x.w[s]])
+        np.log10(p, out=p)
+        sums = [np.add.reduceat(of[at], x.first) for of, at in (((x.count > 0).astype(np.int64), x.tokens), (base, x.tokens), (p, x.back))]
         arrays = [block["docs"], block["held"], x.sizes, sums[0], [words.total] * len(x.sizes), sums[1], sums[2]]
         return pa.table([pa.array(a, f.type) for a, f in zip(arrays, SCORE, strict=True)], schema=SCORE)
 

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from corpus_cases import LONG, ODD, blank_words, documents, low
 from pyspark.sql import functions as F
@@ -135,6 +136,28 @@ def test_held_out_copies_of_training_texts_score_above_new_texts(spark):
     assert min(each[1000 + i] for i in range(40)) > max(each[2000 + i] for i in range(40))
 
 
+def test_pairs_of_a_block_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n, words, docs = 400_000, 60_000, 800
+    hashes = rng.integers(0, 1 << 63, words, dtype=np.uint64)
+    tokens = (words * rng.random(n) ** 4).astype(np.uint32)
+    block = {"tokens": op._zip(tokens), "sizes": [n // docs] * docs, "held": [False] * docs, "words": hashes.tobytes(), "starts": docs}
+    count = np.bincount(tokens, minlength=words)
+    cells = [(0, op._zip(count[np.argsort(hashes)]))]
+    tracemalloc.start()
+    x = op.Pairs(block, cells, 4, 1000)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert x.history_count[x.h[0]] > 0 and len(x.back) == n
+    history = np.where(np.arange(n) % (n // docs) == 0, words, np.roll(tokens, 1))
+    at = np.empty(len(x.order), np.int64)
+    at[x.order] = np.arange(len(x.order))
+    assert (x.h[at[x.back]] == history).all() and (x.w[at[x.back]] == tokens).all()
+    assert kept < 30 * n and peak < 65 * n, (kept / n, peak / n)
+
+
 def test_no_training_rows_and_no_rows(spark):
     docs = documents(spark, [(1, "a b"), (2, None)])
     rows = op.katz_scores(docs, F.lit(True)).collect()
