@@ -33,13 +33,17 @@ PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-
 CONTROL = "\x1c\x1d\x1e\x1f"
 
 
+#: Words of a generation that an Encoder remembers.
+REMEMBERED = 800_000
+
+
 class Encoder:
     """Token ids of texts. White space ends a word in this vocabulary, so words are encoded once and looked up afterwards.
 
     Two generations of remembered words bound the memory: a full young one becomes the old one, and what is used again moves up.
     """
 
-    def __init__(self, path: str, end: int, remembered: int = 800_000):
+    def __init__(self, path: str, end: int, remembered: int = REMEMBERED):
         import json
 
         from tokenizers import Tokenizer
@@ -107,9 +111,9 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str, end: int) -> Encoder:
+def encoder(path: str, end: int, remembered: int) -> Encoder:
     """One for each Python worker, which keeps its words from task to task."""
-    return Encoder(path, end)
+    return Encoder(path, end, remembered)
 
 
 def capacities(total: int, length: int) -> np.ndarray:
@@ -152,18 +156,19 @@ def pack(sizes: np.ndarray, length: int, linear: float = 1.0, quadratic: float =
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = 2048, end: int = 1, block_tokens: int = 2_000_000, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = 2048, end: int = 1, block_tokens: int = 2_000_000, linear: float = 1.0, quadratic: float = 1.0 / 2048, remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece: document, start, length, CRC-32 of its ids, tokens of the document, sequence, and offset there.
 
     tokenizer: file of a public tokenizer, to be found on every executor; end: id after each document; block_tokens: tokens that
-    are packed together at least (a block ends with the document that reaches them).
+    are packed together at least (a block ends with the document that reaches them); remembered: words that a worker remembers
+    in each of two generations, some 200 bytes a word, which bears on memory and time but not on the result.
     """
     from pyspark.sql import functions as F
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(tokenizer, end)
+        encode = encoder(tokenizer, end, remembered)
         base = TaskContext.get().partitionId() << 32
         held: list[tuple[int | None, np.ndarray]] = []
         n = 0

@@ -20,6 +20,8 @@ from cellweave.llm.quality_rules import OUTPUT, quality_rules
 
 #: Ids up to which a list of dropped or repeated documents is broadcast (8 MB); beyond, the join shuffles.
 ID_ROWS = 1_000_000
+#: Words that a worker remembers in packing: the executor's heap, grown in the stages before, leaves less room than packing alone has.
+REMEMBERED = 200_000
 
 
 def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
@@ -74,7 +76,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens; every row is packed, a null text as an empty one."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("quality rules", quality), ("near-duplicates", near_dup), ("decontamination", leaks), ("pseudonyms", private), ("packing", packing)]

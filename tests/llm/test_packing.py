@@ -48,6 +48,27 @@ def test_round_trip_of_the_table(spark, sf_dir):
     check(op.pack_documents(df, PATH).collect(), [(r["doc_id"], r["text"]) for r in df.collect()], 2048)
 
 
+def test_words_of_the_pipeline_take_little_memory_and_forgotten_words_keep_their_ids(monkeypatch):
+    import tracemalloc
+
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "pack_documents", lambda docs, tokenizer, **given: op.Encoder(tokenizer, 1, **given))
+    encode = corpus_pipeline.packing(None, None, "")
+    letters = "abcdefghijklmnop"
+    word = lambda i: "".join(letters[i >> 4 * k & 15] for k in range(5))
+    texts = [" ".join(map(word, range(i, i + 20_000))) for i in range(0, 700_000, 20_000)]
+    first = encode(texts[0])
+    tracemalloc.start()
+    for t in texts[1:]:
+        encode(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6
+    assert word(0) not in encode.young and word(0) not in encode.old
+    assert encode(texts[0]).tolist() == first.tolist() == [*Tokenizer.from_file(PATH).encode(texts[0], add_special_tokens=False).ids, 1]
+
+
 def test_empty_table(spark):
     assert op.pack_documents(documents(spark, []), PATH).count() == 0
 
